@@ -1 +1,37 @@
 """The stages of corpus_pipeline: (spark, docs, sf_dir) -> DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from crestline.llm.rules import keep_good
+
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from crestline.llm.exact_dedup import drop_copies
+
+    return drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from crestline.llm.jaccard import drop_near
+
+    return drop_near(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from crestline.llm.mixing import mixed
+
+    return mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from crestline.llm.packing import pack
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
