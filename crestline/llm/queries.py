@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from crestline.llm import exact_dedup, packing, tokens
+from crestline.llm import exact_dedup, langid, mixing, packing, tokens
 
 QUERIES = {
     "op1_pack": packing.op1_query,
+    "op5_mix": mixing.op5_query,
     "op6_token_counts": tokens.op6_query,
     "op8_exact_dedup": exact_dedup.op8_query,
+    "op10_language_id": langid.op10_query,
 }
 
 ORACLES = {
+    "op5_mix": mixing.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
