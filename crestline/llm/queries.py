@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from crestline.llm import exact_dedup, langid, mixing, packing, tokens
+from crestline.llm import exact_dedup, langid, mixing, packing, secrets, tokens
 
 QUERIES = {
     "op1_pack": packing.op1_query,
+    "op2_secrets": secrets.op2_query,
     "op5_mix": mixing.op5_query,
     "op6_token_counts": tokens.op6_query,
     "op8_exact_dedup": exact_dedup.op8_query,
