@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from crestline.llm import exact_dedup, langid, mixing, packing, secrets, tokens
+from crestline.llm import exact_dedup, jaccard, langid, mixing, packing, secrets, tokens
 
 QUERIES = {
     "op1_pack": packing.op1_query,
     "op2_secrets": secrets.op2_query,
+    "op3_ngram_jaccard": jaccard.op3_query,
     "op5_mix": mixing.op5_query,
     "op6_token_counts": tokens.op6_query,
     "op8_exact_dedup": exact_dedup.op8_query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_ngram_jaccard": jaccard.OP3_SQL,
     "op5_mix": mixing.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
