@@ -81,8 +81,8 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 by_lang.setdefault(lang, []).append(text)
         for lang, texts in by_lang.items():
             own = counts.setdefault(lang, np.zeros(len(ORDERS) * buckets, np.int64))
-            for _, parts in _slices(texts):
-                for _, cells in _grams(parts, buckets):
+            for _, parts, back in _slices(texts):
+                for _, cells in _grams(parts, buckets, back):
                     own += np.bincount(cells, minlength=len(own))
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], names=["lang", "counts"])
 
