@@ -2,8 +2,9 @@
 
 Exact for the Jaccard threshold, given 64-bit shingle hashes:
 
-1. Counting: shingles frequent within any block of rows are summed over the corpus; the ``heavy`` most frequent (a bounded broadcast) come last in the order
-   of shingles, all others come by hash. Any total order gives right results; this one keeps common passages out of prefixes.
+1. Counting: shingles with low hashes, and those frequent within any block of rows, are counted over the corpus; those in ``FREQUENT`` documents (the ``heavy``
+   most frequent, a bounded broadcast) come last in the order of shingles, all others by hash. Any total order gives right results; this one keeps
+   common passages and phrases out of prefixes.
 2. Each document becomes size, fingerprint of its set and prefix. Equal sets collapse into a class, classes of equal size and prefix into a group.
 3. Groups are listed by prefix shingle. Star round: in each list, every group meets only the smallest one. Pairs are filtered by size and by the
    overlap that their prefixes leave possible, expanded to members and verified on whole sets. Links make components.
@@ -27,9 +28,11 @@ from crestline.llm.common import bounded_batches, materialize
 from crestline.llm.shingles import mix, sets
 from crestline.operators.components import connected_components
 
-HEAVY = 65_536
+HEAVY = 1 << 20  # 16 MB where it is broadcast
+FREQUENT = 16  # documents from which a shingle counts as frequent
 BLOCK = 4_000_000  # shingles counted at a time
-LOCAL = 3  # occurrences in a block from which a shingle is reported
+LOCAL = 3  # occurrences in a block from which any shingle is reported
+LOW = np.uint64(1 << 62)  # hashes below are always reported: by hash order these are the ones that get into prefixes
 BROADCAST_IDS = 500_000
 SIGNATURE = "doc_id long, n long, f1 long, f2 long, p1 long, p2 long, prefix array<long>"
 
@@ -47,7 +50,7 @@ def _sums(values: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
 
 
 def heavy_shingles(docs: DataFrame, k: int, heavy: int = HEAVY) -> np.ndarray:
-    """The most frequent shingles, rarest first. Equal sets within a block count once."""
+    """The frequent shingles, at most ``heavy``, rarest first. Equal sets within a block count once. Counts are exact for the lowest quarter of hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -56,7 +59,7 @@ def heavy_shingles(docs: DataFrame, k: int, heavy: int = HEAVY) -> np.ndarray:
 
         def report() -> pa.RecordBatch:
             got, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            many = times >= LOCAL
+            many = (times >= LOCAL) | (got < LOW)
             return pa.RecordBatch.from_arrays([pa.array(got[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["token", "times"])
 
         for b in batches:
@@ -72,8 +75,11 @@ def heavy_shingles(docs: DataFrame, k: int, heavy: int = HEAVY) -> np.ndarray:
         yield report()
 
     counted = docs.select("text").mapInArrow(count, "token long, times long")
-    top = counted.groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(heavy).collect()
-    return np.array([r["token"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
+    frequent = materialize(counted.groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT), "frequent")
+    if frequent.count() > heavy:
+        frequent = frequent.orderBy(F.desc("times"), "token").limit(heavy)
+    top = frequent.toPandas().sort_values(["times", "token"])
+    return top["token"].to_numpy(np.int64).view(np.uint64)
 
 
 def signatures(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFrame:
