@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[flo
     share = min(1.0, sample / max(1, known.count()))
     unit = F.pmod(F.xxhash64(F.col("l_doc"), F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = F.broadcast(known.filter(unit < share))  # about ``sample`` rows of two numbers
-    rows = docs.join(some, docs["doc_id"] == F.col("l_doc")).select(docs["doc_id"], statistics(text_or_empty(docs)).alias("stats"), "quality").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    docs = docs.select("doc_id", "text")
+    rows = docs.join(some, docs["doc_id"] == F.col("l_doc")).select("doc_id", statistics(text_or_empty(docs)).alias("stats"), "quality").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     x = np.array(rows["stats"].tolist(), dtype=np.float64).reshape(len(rows), len(STATISTICS))
     return fit_rules(x, rows["quality"].to_numpy(dtype=np.float64))
 
