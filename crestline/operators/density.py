@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from crestline.functions.vector import inverse_root
 from crestline.session import keep
 
-NONE = F.lit(None).cast("double").alias
+
+def _none(name: str) -> Column:
+    return F.lit(None).cast("double").alias(name)
 
 
 def _folded(knn: DataFrame, term: Callable[[Column], Column]) -> DataFrame:
@@ -21,7 +23,7 @@ def _folded(knn: DataFrame, term: Callable[[Column], Column]) -> DataFrame:
 
 def kth(knn: DataFrame) -> DataFrame:
     """1 / distance of the last neighbour."""
-    return knn.groupBy("id").agg(F.max("d2").alias("d2")).select("id", inverse_root(F.col("d2")).alias("rho"), NONE("rho_rw"))
+    return knn.groupBy("id").agg(F.max("d2").alias("d2")).select("id", inverse_root(F.col("d2")).alias("rho"), _none("rho_rw"))
 
 
 def normalized(knn: DataFrame) -> DataFrame:
@@ -41,17 +43,17 @@ def reweighted(knn: DataFrame, rho: DataFrame) -> DataFrame:
 
 def exp_squared(knn: DataFrame) -> DataFrame:
     """exp(-(mean of squared distances))."""
-    return _folded(knn, lambda d2: d2).select("id", F.exp(-F.col("total") / F.col("n")).alias("rho"), NONE("rho_rw"))
+    return _folded(knn, lambda d2: d2).select("id", F.exp(-F.col("total") / F.col("n")).alias("rho"), _none("rho_rw"))
 
 
 def sum_exp(knn: DataFrame) -> DataFrame:
     """Mean of exp(-squared distance)."""
-    return _folded(knn, lambda d2: F.exp(-d2)).select("id", (F.col("total") / F.col("n")).alias("rho"), NONE("rho_rw"))
+    return _folded(knn, lambda d2: F.exp(-d2)).select("id", (F.col("total") / F.col("n")).alias("rho"), _none("rho_rw"))
 
 
 def top_k_sum(knn: DataFrame) -> DataFrame:
     """Minus the sum of distances: densities are negative."""
-    return _folded(knn, F.sqrt).select("id", (-F.col("total")).alias("rho"), NONE("rho_rw"))
+    return _folded(knn, F.sqrt).select("id", (-F.col("total")).alias("rho"), _none("rho_rw"))
 
 
 def mutual(knn: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def mutual(knn: DataFrame) -> DataFrame:
     rho = F.when(length == 0, F.lit(float("inf"))).otherwise(score * F.size("l") / length)
     everyone = knn.select("id").distinct()
     # A point that its own list lost to more than k twins has no mutual neighbour: length 0, so infinite like the others at distance 0.
-    return everyone.join(both.select("id", rho.alias("rho")), "id", "left").select("id", F.coalesce("rho", F.lit(float("inf"))).alias("rho"), NONE("rho_rw"))
+    return everyone.join(both.select("id", rho.alias("rho")), "id", "left").select("id", F.coalesce("rho", F.lit(float("inf"))).alias("rho"), _none("rho_rw"))
 
 
 def wrapped(given: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def wrapped(given: DataFrame) -> DataFrame:
 def kth_capped(knn: DataFrame, most: float = 3.4028234663852886e38) -> DataFrame:
     """The legacy form of kth: the largest 32-bit float instead of infinity at distance 0."""
     d2 = F.col("d2")
-    return knn.groupBy("id").agg(F.max("d2").alias("d2")).select("id", F.when(d2 <= 0, F.lit(most)).otherwise(1 / F.sqrt(d2)).alias("rho"), NONE("rho_rw"))
+    return knn.groupBy("id").agg(F.max("d2").alias("d2")).select("id", F.when(d2 <= 0, F.lit(most)).otherwise(1 / F.sqrt(d2)).alias("rho"), _none("rho_rw"))
 
 
 #: Density methods by the names that configurations use.

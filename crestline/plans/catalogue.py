@@ -1,6 +1,259 @@
-"""All queries of the clustering engine by name, and the SQL that gives the same rows."""
+"""All queries of the clustering engine by name, each over whole driver tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crestline.operators import assign, baselines, centers, density, dependent, graphs, metrics, sketch, sweep
+from crestline.operators.knn import exact_knn, nearest_centroid, recall
+from crestline.operators.vectors import points
+from crestline.plans import dpc, report
+from crestline.plans.oracles import CLUSTERS, DELTA_E, K, ORACLES, SKETCH, planes
+from crestline.session import keep
+from crestline.sources import text
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def E(spark: SparkSession, d: str) -> DataFrame:
+    """Points of embeddings."""
+    return points(_read(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+def P(spark: SparkSession, d: str) -> DataFrame:
+    """Points of part: size and price, with many ties and twins."""
+    return points(_read(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"])
+
+
+def U(spark: SparkSession, d: str) -> DataFrame:
+    """Points of events: for each user, counts of clicks, views, errors and all."""
+    count = lambda kind: F.count(F.when(F.col("event_type") == kind, 1)).alias(kind)
+    users = _read(spark, d, "events").groupBy("user_id").agg(count("click"), count("view"), count("error"), F.count("*").alias("total"))
+    return points(users, "user_id", ["click", "view", "error", "total"])
+
+
+def S(spark: SparkSession, d: str) -> DataFrame:
+    """Points of supplier: nation and balance."""
+    return points(_read(spark, d, "supplier"), "s_suppkey", ["s_nationkey", "s_acctbal"])
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"))
+
+
+def _knn(pts: DataFrame) -> DataFrame:
+    return keep(exact_knn(pts, K + 1))
+
+
+def _long_ranks(knn: DataFrame) -> DataFrame:
+    return knn.select("id", "nbr", "d2", F.col("rk").cast("long").alias("rk"))
+
+
+def _graph(pts: DataFrame, how=density.kth) -> DataFrame:
+    knn = _knn(pts)
+    rho = keep(how(knn))
+    return keep(rho.join(dependent.dependent_points(pts, knn, rho), "id"))
+
+
+def _labelled(pts: DataFrame, num_clusters: int = CLUSTERS) -> DataFrame:
+    graph = _graph(pts)
+    return assign.labels(graph, centers.by_product(graph, num_clusters))
+
+
+def _finite(rho: DataFrame) -> DataFrame:
+    """Infinite densities as null, so that results can be compared anywhere."""
+    return rho.select("id", F.when(F.col("rho") != float("inf"), F.col("rho")).alias("rho"))
+
+
+def _wrapped(spark: SparkSession, d: str) -> DataFrame:
+    pts = P(spark, d)
+    given = pts.select("id", (F.lit(60.0) - F.col("features")[0]).alias("rho"))
+    return dependent.dependent_points(pts, _knn(pts), density.wrapped(given))
+
+
+def _race(spark: SparkSession, d: str) -> DataFrame:
+    return sketch.race_density(E(spark, d), *SKETCH, sketch.GivenPlanes(planes())).select("id", "rho")
+
+
+def _restricted(spark: SparkSession, d: str) -> DataFrame:
+    pts = E(spark, d)
+    rho = keep(density.kth(_knn(pts)))
+    ids = _truth(spark, d).filter("label = 3").select("id")
+    return dependent.full_search(pts, rho, ids).select("id", "dep", F.sqrt("d2").alias("delta"))
+
+
+def _table(spark: SparkSession, d: str) -> DataFrame:
+    return keep(metrics.contingency(_truth(spark, d), _labelled(E(spark, d))))
+
+
+def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def _centroids(spark: SparkSession, d: str) -> DataFrame:
+    """Mean vector of each label, rounded (sums depend on order in their last bits)."""
+    rows = _read(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
+    means = rows.groupBy("label", "pos").agg(F.round(F.avg("x"), 6).alias("m"))
+    lists = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("l"))
+    return lists.select(F.col("label").alias("id"), F.transform("l", lambda s: s["m"]).alias("features"))
+
+
+def _nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_centroid(E(spark, d), keep(_centroids(spark, d))).select("id", F.col("nbr").alias("cluster"))
+
+
+def _priced(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("x"), F.col("p_size").cast("long").alias("y"))
+
+
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    return report.best_within(report.pareto(_priced(spark, d), "x", "y"), "x", "y", 3.0)
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    """Exact counts of line items by year and month of shipping: something like run times."""
+    months = _read(spark, d, "lineitem").groupBy(F.year("l_shipdate").cast("long").alias("year"), F.month("l_shipdate").cast("long").alias("month"))
+    return months.agg(F.count("*").alias("n"))
+
+
+def _shares(spark: SparkSession, d: str) -> DataFrame:
+    kinds = ["click", "view", "error"]
+    users = U(spark, d).select("id", *[F.col("features")[i].alias(k) for i, k in enumerate([*kinds, "total"])])
+    out = report.time_shares(users, {f"{k}_share": F.col(k) for k in kinds}, F.col("total"))
+    return out.select("id", *[f"{k}_share" for k in kinds])
+
+
+def _singletons(spark: SparkSession, d: str) -> DataFrame:
+    return report.singletons(_labelled(E(spark, d), 60))
+
+
+def _hist(spark: SparkSession, d: str) -> DataFrame:
+    return report.value_histogram(_read(spark, d, "orders"), "o_totalprice", 50)
+
+
+def _kv(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "supplier")
+    lines = rows.select(F.explode(F.array(
+        F.concat(F.lit("id="), F.col("s_suppkey").cast("string")), F.concat(F.lit("name= "), F.col("s_name")),
+        F.concat(F.lit("half="), F.col("s_suppkey").cast("string"), F.lit(".5")), F.concat(F.lit("even="), F.when(F.col("s_suppkey") % 2 == 0, "true").otherwise("False")),
+    )).alias("value"))
+    return text.key_values(lines)
+
+
+def _csv(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "part").select(F.concat_ws(",", F.col("p_brand"), F.col("p_size").cast("string"), (F.col("p_partkey") % 100).cast("string")).alias("value"))
+    parsed = text.label_first(rows)
+    return parsed.select("label", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"), F.size("features").cast("long").alias("width"))
+
+
+def _method(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("Vamana_32_1.1_"), F.col("s_suppkey").cast("string"), F.lit("_64_16_exp-sum_"), (F.col("s_suppkey") % 16).cast("string")).alias("method"))
+    return report.decode_method(report.matching(rows, "method", "^Vamana_.*sum")).select("s_suppkey", "graph", "max_degree", "alpha", "Lbuild", "L", "Lnn", "density", "K")
+
+
+def _ratio(spark: SparkSession, d: str) -> DataFrame:
+    found = _read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("dataset")).agg(F.countDistinct("c_nationkey").alias("num_clusters"))
+    truth = _read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("dataset")).agg(F.count("*").alias("gt_num_clusters"))
+    return report.cluster_ratio(found, truth)
+
+
+def _union(spark: SparkSession, d: str) -> DataFrame:
+    a = _read(spark, d, "nation").select(F.col("n_name").alias("dataset"), F.col("n_nationkey").cast("long").alias("num_clusters"))
+    b = report.relabelled(_read(spark, d, "region").select("r_name"), {"r_name": "dataset"}, {"method": F.lit("DBSCAN")})
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def _complete(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("x"), F.when(F.col("s_suppkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.lit(1.0)).alias("y"))
+    return report.complete_rows(rows, ["x", "y"])
+
+
+def _legacy(spark: SparkSession, d: str) -> DataFrame:
+    return dpc.legacy_cluster(E(spark, d), K, 0.75, DELTA_E, 0.78).clusters
+
+
+def _approximate(kind: str):
+    """Recall of the approximate lists against the exact ones, with the graph's degrees."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        pts = keep(E(spark, d))
+        edges = keep(graphs.build(pts, kind, 32, 64, 1.1, 6, 100))
+        found = graphs.graph_knn(edges, pts, K + 1, 64)
+        return recall(found, exact_knn(pts, K + 1)).join(F.broadcast(graphs.degrees(edges)))  # one row each
+
+    return run
+
+
+def _dpc(spark: SparkSession, d: str) -> DataFrame:
+    return dpc.cluster(E(spark, d), K, 64, 32, dpc.Product(CLUSTERS), Lbuild=64, max_degree=32, alpha=1.1).clusters
+
+
+QUERIES = {
+    "clusters_product": lambda s, d: _labelled(E(s, d)),
+    "knn_exact": lambda s, d: _long_ranks(exact_knn(E(s, d), K + 1)),
+    "knn_ties": lambda s, d: _long_ranks(exact_knn(P(s, d), K + 1)),
+    "knn_users": lambda s, d: _long_ranks(exact_knn(U(s, d), K + 1)),
+    "density_kth": lambda s, d: density.kth(_knn(E(s, d))).select("id", "rho"),
+    "density_kth_capped": lambda s, d: density.kth_capped(_knn(E(s, d))).select("id", "rho"),
+    "density_normalized": lambda s, d: density.normalized(_knn(E(s, d))),
+    "density_mutual": lambda s, d: density.mutual(_knn(E(s, d))).select("id", "rho"),
+    "density_mutual_ties": lambda s, d: _rounded(_finite(density.mutual(_knn(U(s, d))))),
+    "density_topksum": lambda s, d: density.top_k_sum(_knn(E(s, d))).select("id", "rho"),
+    "density_expsq": lambda s, d: _rounded(density.exp_squared(_knn(U(s, d))).select("id", "rho")),
+    "density_sumexp": lambda s, d: _rounded(density.sum_exp(_knn(S(s, d))).select("id", "rho")),
+    "density_wrapped_dependents": _wrapped,
+    "density_race": _race,
+    "dep_pointers": lambda s, d: _graph(E(s, d)).select("id", "dep", "delta"),
+    "dep_pointers_ties": lambda s, d: _graph(U(s, d)).select("id", "dep", "delta"),
+    "dep_restricted": _restricted,
+    "dep_legacy": lambda s, d: dependent.exact_dependent_points(E(s, d), keep(density.kth(_knn(E(s, d)))), 0.75),
+    "decision_graph": lambda s, d: _graph(E(s, d)).select("id", "rho", "delta", "dep"),
+    "max_density_point": lambda s, d: dependent.densest(density.kth(_knn(E(s, d)))),
+    "centers_threshold": lambda s, d: centers.by_threshold(_graph(E(s, d)), DELTA_E, 0.5),
+    "centers_product": lambda s, d: centers.by_product(_graph(E(s, d)), CLUSTERS),
+    "centers_product_reweighted": lambda s, d: centers.by_product(_graph(E(s, d), density.normalized), CLUSTERS, True),
+    "clusters_threshold": lambda s, d: (lambda g: assign.labels(g, centers.by_threshold(g, DELTA_E, 0.5)))(_graph(E(s, d))),
+    "clusters_users": lambda s, d: _labelled(U(s, d), 8),
+    "clusters_by_center": lambda s, d: (lambda g: assign.densest_labels(g, centers.by_product(g, CLUSTERS)))(_graph(E(s, d))),
+    "legacy_clusters": _legacy,
+    "cluster_count": lambda s, d: assign.count_clusters(_labelled(E(s, d))),
+    "cluster_sizes": lambda s, d: metrics.histogram(_labelled(E(s, d)), "cluster"),
+    "largest_clusters": lambda s, d: report.largest_clusters(_labelled(E(s, d), 60)),
+    "singleton_clusters": _singletons,
+    "sweep_k": lambda s, d: sweep.sweep(_graph(E(s, d)), [2, 5, 10, 40]),
+    "metric_recall50_precision50": lambda s, d: _rounded(metrics.recall_precision_50(_table(s, d))),
+    "metric_ari": lambda s, d: _rounded(metrics.adjusted_rand(_table(s, d))),
+    "metric_homogeneity_completeness": lambda s, d: _rounded(metrics.homogeneity_completeness(_table(s, d))),
+    "metric_ami": lambda s, d: _rounded(metrics.adjusted_mutual_info(_table(s, d)), 7),
+    "nearest_centroid": _nearest_centroid,
+    "pareto_min_max": lambda s, d: report.pareto(_priced(s, d), "x", "y").select("x", "y"),
+    "pareto_max_max": lambda s, d: report.pareto(_priced(s, d), "x", "y", False).select("x", "y"),
+    "best_within_tol": lambda s, d: _best(s, d).select("x", "y"),
+    "speedup_first": lambda s, d: report.speedup(_daily(s, d), "year", "month", "n"),
+    "loglog_slope": lambda s, d: _rounded(report.loglog_slope(_daily(s, d), "month", "n", ["year"]), 7),
+    "time_share": _shares,
+    "threshold_for_c": lambda s, d: report.threshold_for(_graph(E(s, d)), 10),
+    "top_by_product": lambda s, d: report.top_by_product(_graph(E(s, d))).select("id", "product"),
+    "top_by_delta": lambda s, d: report.top_by_delta(_graph(E(s, d)), 5).select("id", "delta"),
+    "label_encode": lambda s, d: report.encode(_read(s, d, "customer"), "c_mktsegment").select("c_custkey", "code"),
+    "factorize": lambda s, d: report.encode(_read(s, d, "customer"), "c_mktsegment", "c_custkey").select("c_custkey", "code"),
+    "histogram": _hist,
+    "most_frequent": lambda s, d: report.most_frequent(_read(s, d, "events"), "user_id"),
+    "kv_parse": _kv,
+    "csv_label_split": _csv,
+    "method_decode": _method,
+    "cluster_ratio": _ratio,
+    "union_results": _union,
+    "complete_rows": _complete,
+    "distinct_count": lambda s, d: report.distinct_count(_read(s, d, "customer"), "c_mktsegment"),
+    "knn_hcnng": _approximate("HCNNG"),
+    "knn_nndescent": _approximate("pyNNDescent"),
+    "knn_vamana": _approximate("Vamana"),
+    "dpc_approx": _dpc,
+    "kmeans": lambda s, d: baselines.kmeans(E(s, d), 10),
+}
