@@ -65,9 +65,9 @@ def _product(n: int, rho: str = "rho") -> str:
 
 THRESHOLD = f"centers AS (SELECT id FROM graph WHERE dep IS NULL OR (delta >= {DELTA_E} AND rho >= 0.5))"
 WALK = """walk AS (
-  SELECT id, CASE WHEN id IN (SELECT id FROM centers) THEN id ELSE dep END AS at, id IN (SELECT id FROM centers) AS done FROM graph
-  UNION ALL SELECT w.id, CASE WHEN w.at IN (SELECT id FROM centers) THEN w.at ELSE g.dep END, w.at IN (SELECT id FROM centers) FROM walk w JOIN graph g ON g.id = w.at WHERE NOT w.done
-), rooted AS (SELECT id, at AS root FROM walk WHERE done),
+  SELECT id, CASE WHEN id IN (SELECT id FROM centers) THEN id ELSE dep END AS spot, id IN (SELECT id FROM centers) AS done FROM graph
+  UNION ALL SELECT w.id, CASE WHEN w.spot IN (SELECT id FROM centers) THEN w.spot ELSE g.dep END, w.spot IN (SELECT id FROM centers) FROM walk w JOIN graph g ON g.id = w.spot WHERE NOT w.done
+), rooted AS (SELECT id, spot AS root FROM walk WHERE done),
 clusters AS (SELECT id, max(id) OVER (PARTITION BY root) AS cluster FROM rooted)"""
 
 
@@ -107,10 +107,10 @@ def _sweep(ks: list[int]) -> str:
     return f"""WITH RECURSIVE {_graph('E')}, ranked AS (
   SELECT id, dep, row_number() OVER (ORDER BY CASE WHEN dep IS NULL THEN 'inf'::DOUBLE ELSE ln(rho) + ln(delta) END DESC, id) AS place FROM graph
 ), ks(k) AS (VALUES {values}), walk AS (
-  SELECT k, id, CASE WHEN place <= k THEN id ELSE dep END AS at, place <= k AS done FROM ranked, ks
-  UNION ALL SELECT w.k, w.id, CASE WHEN r.place <= w.k THEN w.at ELSE r.dep END, r.place <= w.k FROM walk w JOIN ranked r ON r.id = w.at WHERE NOT w.done
+  SELECT k, id, CASE WHEN place <= k THEN id ELSE dep END AS spot, place <= k AS done FROM ranked, ks
+  UNION ALL SELECT w.k, w.id, CASE WHEN r.place <= w.k THEN w.spot ELSE r.dep END, r.place <= w.k FROM walk w JOIN ranked r ON r.id = w.spot WHERE NOT w.done
 )
-SELECT k::INTEGER AS k, id, at AS cluster FROM walk WHERE done"""
+SELECT k::INTEGER AS k, id, spot AS cluster FROM walk WHERE done"""
 
 
 ORACLES = {
@@ -192,7 +192,7 @@ SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 50)) + 1, 50)::BIGINT AS b
     "kv_parse": """WITH v AS (
   SELECT unnest([{'k': 'id', 't': s_suppkey::VARCHAR}, {'k': 'name', 't': s_name}, {'k': 'half', 't': s_suppkey || '.5'}, {'k': 'even', 't': CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'False' END}]) AS p FROM supplier
 ) SELECT p.k AS key, p.t AS text, CASE p.k WHEN 'id' THEN 'int' WHEN 'half' THEN 'float' WHEN 'even' THEN 'bool' ELSE 'str' END AS kind,
-  CASE WHEN p.k = 'id' THEN p.t::BIGINT END AS as_long, CASE WHEN p.k IN ('id', 'half') THEN p.t::DOUBLE END AS as_double, CASE WHEN p.k = 'even' THEN lower(p.t) = 'true' END AS as_boolean FROM v""",
+  CASE WHEN p.k = 'id' THEN try_cast(p.t AS BIGINT) END AS as_long, CASE WHEN p.k IN ('id', 'half') THEN try_cast(p.t AS DOUBLE) END AS as_double, CASE WHEN p.k = 'even' THEN lower(p.t) = 'true' END AS as_boolean FROM v""",
     "csv_label_split": "SELECT p_brand AS label, p_size::DOUBLE AS f0, (p_partkey % 100)::DOUBLE AS f1, 2::BIGINT AS width FROM part",
     "method_decode": """SELECT s_suppkey, 'Vamana' AS graph, 32::BIGINT AS max_degree, 1.1::DOUBLE AS alpha, s_suppkey::BIGINT AS "Lbuild", 64::BIGINT AS "L", 16::BIGINT AS "Lnn", 'exp-sum' AS density,
   (s_suppkey % 16)::BIGINT AS "K" FROM supplier""",

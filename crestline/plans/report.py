@@ -121,7 +121,7 @@ def most_frequent(df: DataFrame, column: str, most: int = 10) -> DataFrame:
 
 def encode(df: DataFrame, column: str, by_first_appearance: str | None = None) -> DataFrame:
     """df with ``code``: labels numbered from 0 in sorted order, or in the order in which they first appear by another column."""
-    values = df.groupBy(column).agg(*([F.min(by_first_appearance).alias("__first")] if by_first_appearance else []))
+    values = df.groupBy(column).agg(F.min(by_first_appearance).alias("__first")) if by_first_appearance else df.select(column).distinct()
     order = W.orderBy("__first", column) if by_first_appearance else W.orderBy(column)  # rows are distinct labels
     codes = values.select(F.col(column).alias("__label"), (F.dense_rank().over(order) - 1).cast("long").alias("code"))
     return df.join(codes, df[column].eqNullSafe(F.col("__label"))).drop("__label")
