@@ -152,11 +152,11 @@ def test_pipeline_against_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     made = {}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, small)
+        before, out = docs.toPandas(), stage(spark, docs, small)
         made[name] = out.toPandas()
         if name != "packing":
             assert out.columns == docs.columns
-            before, docs = docs.toPandas(), spark.createDataFrame(out.collect(), out.schema)
+            docs = spark.createDataFrame(out.collect(), out.schema)
         if name == "quality_classifier":
             good = rules.score(spark.createDataFrame(before), spark.read.parquet(f"{small}/labels.parquet")).filter("predicted = 1").toPandas()
             assert sorted(made[name].doc_id) == sorted(good.doc_id)
