@@ -45,8 +45,9 @@ def against_all(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame,
         return left.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, schema)  # cheap beside the distances
     per_block = max(1_024, limit // (8 * (width + 4)) // 16)
     blocks = -(-n // per_block)
-    here = left.withColumn("__l", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    there = right.withColumn("__r", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    here = left.withColumn("__l", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("__r", F.explode(numbers))
+    there = right.withColumn("__r", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("__l", F.explode(numbers))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id").reset_index(drop=True)

@@ -55,10 +55,10 @@ def linear_regression(df: DataFrame, features: list[str], target: str, degree: i
     from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    rows = VectorAssembler(inputCols=features, outputCol="x").transform(complete_rows(df, [*features, target]))
+    rows = VectorAssembler(inputCols=features, outputCol="__x").transform(complete_rows(df, [*features, target]))
     if degree > 1:
-        rows = PolynomialExpansion(degree=degree, inputCol="x", outputCol="p").transform(rows).drop("x").withColumnRenamed("p", "x")
-    fitted = LinearRegression(featuresCol="x", labelCol=target, solver="normal").fit(rows)
+        rows = PolynomialExpansion(degree=degree, inputCol="__x", outputCol="__p").transform(rows).drop("__x").withColumnRenamed("__p", "__x")
+    fitted = LinearRegression(featuresCol="__x", labelCol=target, solver="normal").fit(rows)
     return {"coefficients": list(fitted.coefficients), "intercept": fitted.intercept, "r2": fitted.summary.r2, "mae": fitted.summary.meanAbsoluteError}
 
 
