@@ -55,10 +55,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     made = materialize(recipes(docs), "recipes")
     best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("missing"), "doc_id")).alias("best")
-    groups = made.groupBy("recipe").agg(best, F.count("*").alias("group_size")).select(F.col("recipe").alias("g_recipe"), F.col("best.doc_id").alias("keep_id"), "group_size")
-    return made.join(groups, F.col("recipe") == F.col("g_recipe")).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    groups = made.groupBy("recipe").agg(best, F.count("*").alias("group_size")).filter("group_size > 1")
+    # Only groups of two or more are joined back, as a table of their own: the rows' side of that join can be split however large a group is.
+    groups = materialize(groups.select(F.col("recipe").alias("g_recipe"), F.col("best.doc_id").alias("keep_id"), "group_size"), "groups")
+    joined = made.join(groups, F.col("recipe") == F.col("g_recipe"), "left")
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    out = joined.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
