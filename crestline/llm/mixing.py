@@ -1,8 +1,8 @@
 """Mixing sources to target weights (operator 5), DataFrame functions only.
 
 Sources by code point, null last, weigh 5, 2, 1 and so on; they share all words by weight, none above ``cap`` times its own size
-(the excess goes to the others by weight). Each document has a hash-random key. Within a source keys are split
-into ranges of a few thousand rows, so no source is ordered in one task; a range's words are summed first, the sums added up
+(the excess goes to the others by weight). Each document has a hash-random key. A source's keys are split into ranges of a few
+hundred rows, as many as the source needs, so no source is ordered in one task; a range's words are summed first, the sums added up
 over ranges, and only then over the rows of a range. A source takes whole epochs and then the documents in key order
 up to its exact budget; the document at the cut is taken in part.
 
@@ -21,7 +21,7 @@ from crestline.llm.common import WORD, materialize, text_or_empty
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 17
-RANGE_ROWS = 2_000
+RANGE_ROWS = 400
 BIG = "decimal(38,0)"
 
 
@@ -62,12 +62,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     )
 
 
-def _taken(rows: DataFrame, sums: DataFrame, ranges: int, weights: tuple[int, ...], cap: int) -> DataFrame:
-    """rows with source_size, target, taken and copies. sums: words by source and range."""
+def _taken(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], cap: int, range_rows: int) -> DataFrame:
+    """rows with source_size, target, taken and copies. sized: the rows' own columns, materialized."""
+    ranges = sized.groupBy("__source").agg(F.ceil(F.count("*") / range_rows).alias("__ranges"))
+    ranges = materialize(ranges.select(F.col("__source").alias("__of"), "__ranges"), "ranges")  # a row for each source
+    sums = _ranged(sized, ranges).groupBy("__source", "__range").agg(F.sum("__size").alias("__words"))
     sums = sums.withColumn("__before", F.sum("__words").over(W.partitionBy("__source").orderBy("__range")) - F.col("__words"))
     goal = targets(sums.groupBy("__source").agg(F.sum("__words").alias("source_size")), weights, cap)
     offsets = sums.join(goal, "__source").select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), "__before", "source_size", "target")
-    rows = rows.withColumn("__range", _range(ranges))
+    rows = _ranged(rows, ranges)
     within = W.partitionBy("__source", "__range").orderBy("__key", "__doc", "__size").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("__upto", F.sum("__size").over(within))
     rows = rows.join(offsets, (F.col("__source") == F.col("__s")) & (F.col("__range") == F.col("__r")))
@@ -79,28 +82,23 @@ def _taken(rows: DataFrame, sums: DataFrame, ranges: int, weights: tuple[int, ..
     return rows.withColumn("taken", F.col("__epochs") * F.col("__size") + F.col("__part")).withColumn("copies", F.when(F.col("__size") > 0, whole).otherwise(0).cast("long"))
 
 
-def _range(ranges: int) -> Column:
-    """Which of the equal ranges of keys; the first 28 bits of a key decide."""
-    return F.floor(F.conv(F.substring("__key", 1, 7), 16, 10).cast("long") * F.lit(ranges) / F.lit(1 << 28)).cast("long")
-
-
-def _sums(sized: DataFrame, range_rows: int) -> tuple[DataFrame, int]:
-    ranges = max(1, -(-sized.count() // range_rows))
-    return sized.groupBy("__source", _range(ranges).alias("__range")).agg(F.sum("__size").alias("__words")), ranges
+def _ranged(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """rows with __range: which of its source's equal ranges the key is in, by its first 28 bits."""
+    place = F.conv(F.substring("__key", 1, 7), 16, 10).cast("long") * F.col("__ranges") / F.lit(1 << 28)
+    return rows.join(ranges, F.col("__source") == F.col("__of")).withColumn("__range", F.floor(place).cast("long")).drop("__of", "__ranges")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, taken, and copies (whole documents nearest to what is taken) of every row."""
     sized = materialize(docs.select(*_sized(docs, seed)), "sizes")
-    sums, ranges = _sums(sized, range_rows)
-    return _taken(sized, sums, ranges, weights, cap).select(F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "taken", "copies")
+    return _taken(sized, sized, weights, cap, range_rows).select(F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "taken", "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mix itself: the rows of docs, each as often as whole documents are taken (the one at a cut if at least half of it is)."""
-    sums, ranges = _sums(materialize(docs.select(*_sized(docs, seed)), "sizes"), range_rows)
+    sized = materialize(docs.select(*_sized(docs, seed)), "sizes")
     packed = docs.select(*_sized(docs, seed), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    out = _taken(packed, sums, ranges, weights, cap).filter("copies > 0")
+    out = _taken(packed, sized, weights, cap, range_rows).filter("copies > 0")
     return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")
 
 
