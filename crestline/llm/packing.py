@@ -27,7 +27,7 @@ from crestline.llm.common import bounded_batches, materialize
 from crestline.llm.tokens import load
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-SHARD_ROWS = 20_000
+SHARD_ROWS = 400
 _RANKED: dict[str, object] = {}
 
 
@@ -129,8 +129,9 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = 2048, end_id: i
     cut = materialize(pieces(docs, tokenizer_path, max_length, end_id), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_length rows
     places = slots(patterns(histogram, max_length))
-    shards = max(1, -(-sum(histogram.values()) // SHARD_ROWS))
-    sharded = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    # As many shards as a length needs; a row for each length, so at most max_length rows are broadcast.
+    shards = spark.createDataFrame([(length, -(-n // SHARD_ROWS)) for length, n in histogram.items()], "h_length long, shards long")
+    sharded = cut.join(F.broadcast(shards), F.col("length") == F.col("h_length")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("shards")))
     before = sharded.groupBy("length", "shard").agg(F.count("*").alias("n"))
     before = before.select("length", "shard", (F.sum("n").over(W.partitionBy("length").orderBy("shard")) - F.col("n")).alias("before"))
     within = W.partitionBy("length", "shard").orderBy("doc_id", "start", "ids_crc32")
