@@ -21,5 +21,6 @@ ORACLES = {
     "op3_ngram_jaccard": jaccard.OP3_SQL,
     "op4_embedding_near_dedup": embeddings.OP4_SQL,
     "op5_mix": mixing.OP5_SQL,
+    "op7_url_filter": urls.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }

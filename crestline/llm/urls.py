@@ -107,7 +107,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = materialize(base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), _shape(F.col("host"), F.col("path")).alias("shape")), "urls")
     shapes = base.groupBy("shape").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("a"), F.count(F.when(F.col("ruled") == "block", 1)).alias("b"))
-    shapes = materialize(shapes.withColumn("held", F.crc32(F.col("shape").cast("binary")) % HELD_BACK == 0), "shapes")
+    held = F.conv(F.substring(F.md5(F.col("shape").cast("binary")), 1, 7), 16, 10).cast("long") % HELD_BACK == 0
+    shapes = materialize(shapes.withColumn("held", held), "shapes")
     model = materialize(_log_ratios(_grams(shapes.filter("NOT held AND a + b > 0"), "a", "b"), _grams(shapes).distinct()), "ratios")
     model = F.broadcast(model) if model.count() <= BROADCAST_ROWS else model
     mean = (F.sum("ratio") / F.count("*") / SCALE).alias("score")
@@ -121,4 +122,59 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql() -> str:
+    """The same models and cut in SQL."""
+    fits = [(rule, *rule.partition("/")[::2]) for rule, _ in sorted(RULES, key=lambda r: -len(r[0]))]
+    rule = " ".join(f"WHEN (host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '/{rest}') THEN '{text}'" for text, at, rest in fits)
+    says = " ".join(f"WHEN '{text}' THEN '{verdict}'" for text, verdict in RULES)
+    levels = ""
+    for k in range(ORDER + 1):
+        before, part, context = f"p{k - 1}" if k else "e", f"substr(p.gram, {ORDER + 1 - k}, {k + 1})", f"substr(p.gram, {ORDER + 1 - k}, {k})"
+        side = lambda x: f"CASE WHEN coalesce(s{x}, 0) >= {LEAST if k else 1} THEN (coalesce(n{x}, 0) + t{x} * p{x}) / (s{x} + t{x}) ELSE p{x} END AS p{x}"  # noqa: B023, E731
+        levels += f""", c{k} AS (
+  SELECT substr(gram, {ORDER + 1 - k}, {k + 1}) AS kg, sum(a)::DOUBLE AS na, sum(b)::DOUBLE AS nb FROM l GROUP BY 1
+), x{k} AS (
+  SELECT substr(kg, 1, {k}) AS kc, sum(na) AS sa, sum(nb) AS sb, count(*) FILTER (na > 0)::DOUBLE AS ta, count(*) FILTER (nb > 0)::DOUBLE AS tb FROM c{k} GROUP BY 1
+), p{k} AS (
+  SELECT p.gram, {side('a')}, {side('b')} FROM {before} p LEFT JOIN c{k} ON c{k}.kg = {part} LEFT JOIN x{k} ON x{k}.kc = {context}
+)"""
+    return f"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), r AS (
+  SELECT *, CASE {rule} END AS rule, regexp_replace(translate(host || path, '{UPPER}123456789', '{LOWER}000000000'), '[^a-z0./_-]', '~', 'g') AS shape FROM u
+), v AS (
+  SELECT *, CASE rule {says} END AS ruled FROM r
+), s AS (
+  SELECT shape, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b, ('0x' || substr(md5(shape), 1, 7))::BIGINT % {HELD_BACK} = 0 AS held FROM v GROUP BY shape
+), g AS (
+  SELECT shape, a, b, held, unnest(list_transform(range(1, len(shape) + 2), lambda i: substr('{"^" * ORDER}' || shape || '$', i, {ORDER + 1}))) AS gram FROM s
+), l AS (
+  SELECT gram, sum(a) AS a, sum(b) AS b FROM g WHERE NOT held AND a + b > 0 GROUP BY gram
+), e AS (
+  SELECT DISTINCT gram, 1 / {len(SYMBOLS)}::DOUBLE AS pa, 1 / {len(SYMBOLS)}::DOUBLE AS pb FROM g
+){levels}, m AS (
+  SELECT gram, round((ln(pa) - ln(pb)) * {SCALE})::BIGINT AS ratio FROM p{ORDER}
+), scored AS (
+  SELECT shape, any_value(a) AS a, any_value(b) AS b, any_value(held) AS held, sum(ratio)::DOUBLE / count(*) / {SCALE} AS score FROM g JOIN m USING (gram) WHERE shape <> '' GROUP BY shape
+), bins AS (
+  SELECT held, floor(greatest(least(score, 20.0), -20.0) * {BINS})::INTEGER AS bin, sum(a) AS a, sum(b) AS b FROM scored WHERE a + b > 0 GROUP BY ALL
+), side AS (
+  SELECT held FROM bins GROUP BY held HAVING sum(a) > 0 AND sum(b) > 0 ORDER BY held DESC LIMIT 1
+), steps AS (
+  SELECT bin, a, b FROM bins WHERE held = (SELECT held FROM side) UNION ALL SELECT max(bin) + 1, 0, 0 FROM bins WHERE held = (SELECT held FROM side)
+), tried AS (
+  SELECT bin, (sum(a) OVER () - (sum(a) OVER o - a))::DOUBLE / (sum(a) OVER ())::DOUBLE + (sum(b) OVER o - b)::DOUBLE / (sum(b) OVER ())::DOUBLE AS accuracy FROM steps WINDOW o AS (ORDER BY bin)
+), cut AS (
+  SELECT coalesce((SELECT bin FROM tried WHERE bin IS NOT NULL ORDER BY accuracy DESC, abs(bin), bin LIMIT 1) / {BINS}, 0) AS cut
+)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(score, 0) >= cut THEN 'allow' ELSE 'block' END) AS verdict
+FROM v LEFT JOIN (SELECT shape, score FROM scored) USING (shape), cut
+"""
+
+
+OP7_SQL = _sql()

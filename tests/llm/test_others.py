@@ -116,7 +116,7 @@ def brute_scores(shapes, learned):
 
 
 def test_urls(spark, small):
-    import zlib
+    import hashlib
 
     given = [r.url for r in spark.read.parquet(f"{small}/pages.parquet").select("url").collect()]
     given += [None, "", "no scheme", "http://", "http://NET/a", "http://x.net", "http://x.net/?q", "https://a.b.Example.NET/en/x#y", "http://notnet/", "http://example.com/de/1", "ftp://u:p@w.ORG/fr/ü?x", "http://a\nb.net/c", "x://net/y://org/fr/"]
@@ -130,7 +130,7 @@ def test_urls(spark, small):
         says = brute_rule(host, path)[1]
         counts[shape][0] += says == "allow"
         counts[shape][1] += says == "block"
-    held = {s: zlib.crc32(s.encode()) % urls.HELD_BACK == 0 for s in counts}
+    held = {s: int(hashlib.md5(s.encode()).hexdigest()[:7], 16) % urls.HELD_BACK == 0 for s in counts}
     scores = brute_scores(counts, [(s, *c) for s, c in counts.items() if not held[s] and sum(c)])
     accepted = []
     for r in got:
