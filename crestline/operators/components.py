@@ -20,12 +20,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
-def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], a: str = "a", b: str = "b") -> DataFrame:
-    """node and component (its smallest node) for every node of an undirected edge table. keep materializes a round's result."""
+def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], a: str = "a", b: str = "b", drop: Callable[[DataFrame], None] = lambda df: None) -> DataFrame:
+    """node and component (its smallest node) for every node of an undirected edge table. keep materializes a round's result, drop forgets one."""
     now = keep(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     mark = None
     while True:
-        now = keep(_small(_large(now)))
+        before, now = now, keep(_small(_large(now)))
+        drop(before)
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
         if mark == tuple(seen):
             break
