@@ -271,10 +271,10 @@ def test_languages(spark, medium):
 def test_bayes_scores_against_plain_python():
     rng = np.random.default_rng(7)
     matrix = np.log(rng.random((3 * 64, 3))).astype(np.float32)
-    texts = ["Some Words", "a", "", None, "123 !", "été"]
+    texts = ["Some Words", "a", "", None, "123 !", "été", "½ ² _"]
     langs, scores = langid.score_texts(texts, ["a", "b", "c"], np.zeros(3), matrix)
     for text, lang, score in zip(texts, langs, scores, strict=True):
-        if not text or not re.search(r"[^\W\d_]", text):
+        if not text or not any(c.isalpha() for c in text):
             assert (lang, score) == ("und", 0.0)
             continue
         total = np.zeros(3)
