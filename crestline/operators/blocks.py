@@ -46,6 +46,7 @@ def against_all(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame,
     per_block = max(1_024, limit // (8 * (width + 4)) // 16)
     blocks = -(-n // per_block)
     numbers = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own, also if both come from one table
     here = left.withColumn("__l", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("__r", F.explode(numbers))
     there = right.withColumn("__r", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("__l", F.explode(numbers))
 

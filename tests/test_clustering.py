@@ -257,6 +257,16 @@ def test_graph_dependents_with_few_left_are_exact(blobs):
     assert sum(v is None for v in searched.values()) == 1
 
 
+@pytest.mark.parametrize("kind", ["pyNNDescent", "HCNNG"])
+def test_graphs_beyond_the_broadcast_bound(blobs, monkeypatch, kind):
+    pts, truth = blobs
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 100)
+    found = dpc.cluster(pts, K=6, center_finder=dpc.Threshold(8.36), Lbuild=32, max_degree=16, graph_type=kind)
+    assert metrics.evaluate(truth, found.clusters, ("ARI",))["ARI"] > 0.95
+    with pytest.raises(ValueError):
+        dpc.cluster(pts, graph_type="Vamana")
+
+
 def test_complete_and_rerank(line, knn):
     part = knn.filter("id <> 4 AND rk < 3").unionByName(knn.filter("id IN (0, 1) AND rk = 3"))
     assert lists(complete(keep(part), line, 3)) == line_lists()
