@@ -30,6 +30,35 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run; those that its result doesn't read are deleted when it is over, so that disk holds no more than a step needs."""
+
+    def __init__(self) -> None:
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        """df, materialized."""
+        spark = df.sparkSession
+        path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables that put() returned."""
+        for df in frames:
+            out, path = self.paths.pop(id(df))
+            jvm = out.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(out.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+    def close(self, *keep: DataFrame) -> None:
+        """Delete all but these."""
+        stay = {id(df) for df in keep}
+        self.drop(*[out for key, (out, _) in list(self.paths.items()) if key not in stay])
+
+
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Bound what one Arrow batch holds, so a run of very long texts can't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

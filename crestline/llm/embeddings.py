@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import materialize
+from crestline.llm.common import Scratch
 from crestline.operators.components import connected_components
 
 BLOCK = 1_024
@@ -120,9 +120,9 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = SEED) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors."""
-    rows = _classes(vectors)
+    rows, scratch = _classes(vectors), Scratch()
     classes = rows.filter("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes, "classes")
+    classes = scratch.put(classes, "classes")
     top = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, slices = plan(top, threshold)
     need = bits * slices
@@ -140,7 +140,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = SEED)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(5)], lists], names=["label", "embedding", "rep", "copies", "dim", "keys"])
 
     schema = f"label {dict(classes.dtypes)['label']}, embedding array<double>, rep long, copies long, dim int, keys array<long>"
-    keyed = materialize(live.select("label", "embedding", "rep", "copies", "dim").mapInArrow(key_rows, schema), "codes")
+    keyed = scratch.put(live.select("label", "embedding", "rep", "copies", "dim").mapInArrow(key_rows, schema), "codes")
     entries = keyed.select("label", "dim", "rep", F.posexplode("keys").alias("slice", "key"))
     buckets = entries.groupBy("label", "dim", "slice", "key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = buckets.select(*[F.col(c).alias(f"b_{c}") for c in ("label", "dim", "slice", "key")], F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -153,9 +153,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = SEED)
     def cell(table: pa.Table) -> pa.Table:
         return _cell(table, _rotations(table["dim"][0].as_py(), need, seed), bits, threshold)
 
-    found = materialize(cells.groupBy("label", "dim", "slice", "key", "low", "high").applyInArrow(cell, "rep long, links long, root long"), "cells")
+    found = scratch.put(cells.groupBy("label", "dim", "slice", "key", "low", "high").applyInArrow(cell, "rep long, links long, root long"), "cells")
     links = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "k_rep")
-    parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), lambda df: materialize(df, "components"))
+    parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), lambda df: scratch.put(df, "rounds"), drop=scratch.drop)
+    parts = scratch.put(parts, "components")
+    scratch.close(classes, found, parts)
     placed = classes.join(links, F.col("rep") == F.col("k_rep"), "left").join(parts, F.col("rep") == F.col("node"), "left")
     placed = placed.select(
         F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")

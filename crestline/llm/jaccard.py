@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import bounded_batches, materialize
+from crestline.llm.common import Scratch, bounded_batches
 from crestline.llm.shingles import mix, sets
 from crestline.operators.components import connected_components
 
@@ -49,7 +49,7 @@ def _sums(values: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def heavy_shingles(docs: DataFrame, k: int, heavy: int = HEAVY) -> np.ndarray:
+def heavy_shingles(docs: DataFrame, k: int, scratch: Scratch, heavy: int = HEAVY) -> np.ndarray:
     """The frequent shingles, at most ``heavy``, rarest first. Equal sets within a block count once. Counts are exact for the lowest quarter of hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,10 +75,10 @@ def heavy_shingles(docs: DataFrame, k: int, heavy: int = HEAVY) -> np.ndarray:
         yield report()
 
     counted = docs.select("text").mapInArrow(count, "token long, times long")
-    frequent = materialize(counted.groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT), "frequent")
-    if frequent.count() > heavy:
-        frequent = frequent.orderBy(F.desc("times"), "token").limit(heavy)
-    top = frequent.toPandas().sort_values(["times", "token"])
+    frequent = scratch.put(counted.groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT), "frequent")
+    most = frequent.orderBy(F.desc("times"), "token").limit(heavy) if frequent.count() > heavy else frequent
+    top = most.toPandas().sort_values(["times", "token"])
+    scratch.drop(frequent)
     return top["token"].to_numpy(np.int64).view(np.uint64)
 
 
@@ -134,16 +134,18 @@ class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int, heavy: int):
         bounded_batches(docs.sparkSession)
         self.docs, self.k, self.percent = docs, k, percent
-        self.signed = materialize(signatures(docs, k, percent, heavy_shingles(docs, k, heavy)), "signatures")
+        self.scratch = Scratch()
+        keep = self.scratch.put
+        self.signed = keep(signatures(docs, k, percent, heavy_shingles(docs, k, self.scratch, heavy)), "signatures")
         classes = self.signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
         groups = classes.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
-        self.members = materialize(classes.join(groups, ["n", "p1", "p2"]).select("rep", "gid", "n", "f1", "f2"), "members")
+        self.members = keep(classes.join(groups, ["n", "p1", "p2"]).select("rep", "gid", "n", "f1", "f2"), "members")
         heads = self.members.filter("rep = gid").select(F.col("gid").alias("h_id"), F.col("f1").alias("h1"), F.col("f2").alias("h2"))
         own = self.signed.filter("n > 0").join(heads, (F.col("doc_id") == F.col("h_id")) & (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2")))
-        self.groups = materialize(own.select(F.col("h_id").alias("gid"), "n", "prefix").dropDuplicates(["gid"]), "groups")
+        self.groups = keep(own.select(F.col("h_id").alias("gid"), "n", "prefix").dropDuplicates(["gid"]), "groups")
         posts = self.groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
         shared = self.groups.select("gid", F.explode("prefix").alias("l_token")).groupBy("l_token").agg(F.count("*").alias("many"), F.min("gid").alias("leader")).filter("many > 1")
-        self.lists = materialize(posts.join(shared, F.col("token") == F.col("l_token")).select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), "leader"), "lists")
+        self.lists = keep(posts.join(shared, F.col("token") == F.col("l_token")).select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), "leader"), "lists")
 
     def _need(self, a: Column, b: Column) -> Column:
         """Least overlap of linked sets of these sizes."""
@@ -162,28 +164,33 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs of classes (a, b)."""
-        pairs = materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+        keep = self.scratch.put
+        pairs = keep(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        ids = keep(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
         whole = _whole_sets(self.docs, ids, self.k)
         marks = self.members.select(F.col("rep").alias("id"), F.col("f1").alias("m1"), F.col("f2").alias("m2"))
-        whole = materialize(whole.join(marks, (F.col("doc_id") == F.col("id")) & (F.col("f1") == F.col("m1")) & (F.col("f2") == F.col("m2"))).select("id", "shingles").dropDuplicates(["id"]), "sets")
+        whole = keep(whole.join(marks, (F.col("doc_id") == F.col("id")) & (F.col("f1") == F.col("m1")) & (F.col("f2") == F.col("m2"))).select("id", "shingles").dropDuplicates(["id"]), "sets")
         both = pairs.join(whole.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(whole.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return materialize(both.filter(common * (100 + self.percent) >= (F.size("sa") + F.size("sb")) * self.percent).select("a", "b"), "links")
+        found = keep(both.filter(common * (100 + self.percent) >= (F.size("sa") + F.size("sb")) * self.percent).select("a", "b"), "links")
+        self.scratch.drop(pairs, ids, whole)
+        return found
 
     def links(self) -> DataFrame:
         """Links between classes that connect all there are; between two classes of one component not every link is listed."""
+        keep, drop = self.scratch.put, self.scratch.drop
         star = self.lists.filter("gid <> leader").select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct()
-        star = materialize(self._filtered(star), "star")
+        star = keep(self._filtered(star), "star")
         inside = self.members.filter("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
         expanded = star.join(self.members.select(F.col("gid").alias("b"), "rep"), "b").select("a", F.col("rep").alias("b"))
         first = self.verified(expanded.unionByName(inside))
+        drop(star)
 
-        found = connected_components(first, lambda df: materialize(df, "stars"))
+        found = connected_components(first, lambda df: keep(df, "stars"), drop=drop)
         placed = self.members.join(found, F.col("rep") == F.col("node"), "left").select("rep", "gid", F.coalesce("component", "rep").alias("c"))
-        placed = materialize(placed, "placed")
+        placed = keep(placed, "placed")
         span = placed.groupBy("gid").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).withColumnRenamed("gid", "s_gid")
-        lists = materialize(self.lists.join(span, F.col("gid") == F.col("s_gid")).select("token", "gid", "n", "pos", "c0", "c1"), "spans")
+        lists = keep(self.lists.join(span, F.col("gid") == F.col("s_gid")).select("token", "gid", "n", "pos", "c0", "c1"), "spans")
         mixed = lists.groupBy(F.col("token").alias("m_token")).agg(F.min("c0").alias("lo"), F.max("c1").alias("hi")).filter("lo <> hi")
         lists = lists.join(mixed, F.col("token") == F.col("m_token")).select("token", "gid", "n", "pos", "c0", "c1")
         x, y = (lists.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("gid", "n", "pos", "c0", "c1")]) for side in ("x", "y"))
@@ -193,7 +200,7 @@ class _Join:
             (F.col("gid_x") < F.col("gid_y")) & ((F.col("c0_x") != F.col("c1_y")) | (F.col("c1_x") != F.col("c0_y"))) & self._fits(n, m) & (F.col("pos_x") <= n - need) & (F.col("pos_y") <= m - need)
         )
         pairs = x.join(y, "token").filter(possible).select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct()
-        pairs = materialize(self._filtered(pairs), "cross")
+        pairs = keep(self._filtered(pairs), "cross")
         left = placed.select(F.col("gid").alias("a"), F.col("rep").alias("ra"), F.col("c").alias("ca"))
         right = placed.select(F.col("gid").alias("b"), F.col("rep").alias("rb"), F.col("c").alias("cb"))
         apart = pairs.join(left, "a").join(right, "b").filter("ca <> cb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
@@ -204,7 +211,8 @@ class _Join:
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs; sets link at a Jaccard similarity of percent / 100 or more."""
     run = _Join(docs, k, percent, heavy)
-    found = connected_components(run.links(), lambda df: materialize(df, "components"))
+    found = run.scratch.put(connected_components(run.links(), lambda df: run.scratch.put(df, "rounds"), drop=run.scratch.drop), "components")
+    run.scratch.close(run.signed, run.members, found)
     placed = run.members.join(found, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("c_n"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.coalesce("component", "rep").alias("component_id"))
     some = run.signed.filter("n > 0").select("doc_id", "n", "f1", "f2")
     joined = some.join(placed, (F.col("n") == F.col("c_n")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left")
