@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_secrets": secrets.OP2_SQL,
     "op3_ngram_jaccard": jaccard.OP3_SQL,
     "op4_embedding_near_dedup": embeddings.OP4_SQL,
     "op5_mix": mixing.OP5_SQL,

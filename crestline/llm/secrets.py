@@ -181,3 +181,74 @@ def op2_query(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
 
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))
+
+
+def _sql() -> str:
+    """The same spans, battery and cuts in SQL."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def spans(name: str, pattern: str, group: int) -> str:
+        p = quoted(pattern)
+        return f"""{name} AS (
+  SELECT rid, hits[i] AS hit, vals[i] AS val,
+    (list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: len(x))), 0))::BIGINT AS beg
+  FROM (SELECT rid, hits, vals, gaps, unnest(range(1, len(hits) + 1)) AS i
+    FROM (SELECT rid, regexp_extract_all(t, {p}) AS hits, regexp_extract_all(t, {p}, {group}) AS vals, string_split_regex(t, {p}) AS gaps FROM d))
+)"""
+
+    bare = "(?:^|[^A-Za-z0-9+/_=-])(" + CANDIDATE.partition(")")[2] + ")"  # no look-behind here: the character before is matched and then left out
+    pick = lambda i: " ".join(f"WHEN regexp_matches(body, {quoted(a[0])}) THEN {quoted(a[i]) if i == 1 else len(a[1]) if i == 3 else a[2]}" for a in ALPHABETS)
+    upper = lambda z: f"greatest(1 / (1 + exp(1.5976 * greatest(least({z}, 8.0), -8.0) + 0.07056 * pow(greatest(least({z}, 8.0), -8.0), 3))), 1e-15)"
+    total = lambda items: f"list_sum({items})"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), {spans('assigned', ASSIGN, 1)}, {spans('accessed', ACCESS, 0)}, {spans('hexed', HEX, 0)}, {spans('ran', bare, 1)},
+base AS (
+  SELECT rid, beg AS s, 0 AS kind, beg + len(hit) AS e FROM assigned WHERE len(val) >= 8
+  UNION ALL SELECT rid, beg, 1, beg + len(hit) FROM accessed UNION ALL SELECT rid, beg, 2, beg + len(hit) FROM hexed
+), cand AS (
+  SELECT rid, beg + len(hit) - len(val) AS s, beg + len(hit) AS e, translate(rtrim(val, '='), '-_', '+/') AS body FROM ran
+), alone AS (
+  SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.s < c.e AND c.s < b.e)
+), one AS (
+  SELECT *, len(body)::DOUBLE AS n, CASE {pick(1)} END AS letters, (CASE {pick(3)} END)::DOUBLE AS k, (CASE {pick(2)} END)::DOUBLE AS f, string_split(body, '') AS chars FROM alone
+), two AS (
+  SELECT *, k / n * {total("list_transform(list_distinct(chars), lambda c: pow(n - len(replace(body, c, '')), 2))")} - n AS x2, list_transform(chars, lambda c: instr(letters, c)::DOUBLE) AS v FROM one
+), three AS (
+  SELECT *, list_transform(v, lambda p: CASE WHEN p > k / 2 THEN 1 ELSE 0 END) AS h, {total("v")} / n AS mean, {total("list_transform(v, lambda p: p * p)")} / n - pow({total("v")} / n, 2) AS spread FROM two
+), four AS (
+  SELECT *, {total("h")}::DOUBLE AS ones, 1 + {total("list_transform(range(1, len(h)), lambda i: abs(h[i] - h[i + 1]))")} AS runs,
+    CASE WHEN spread > 0 THEN {total("list_transform(range(1, len(v)), lambda i: (v[i] - mean) * (v[i + 1] - mean))")} / (n * greatest(spread, 1e-9)) ELSE 1 END AS serial FROM three
+), five AS (
+  SELECT *, k - 1 AS df, 2 * ones * (n - ones) AS product FROM four
+), six AS (
+  SELECT *, product * (product - n) / (n * n * (n - 1)) AS variance, greatest(k * {TEXT_REPEAT} - 1, 0.25) AS uneven FROM five
+), seven AS (
+  SELECT *, {upper("(pow(greatest(x2, 0) / df, 1 / 3.0::DOUBLE) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df))")} AS p1,
+    CASE WHEN variance > 0 THEN 2 * {upper("abs(runs - product / n - 1) / sqrt(greatest(variance, 1e-9))")} ELSE 1e-15 END AS p2,
+    2 * {upper("abs(serial + 1 / n) * sqrt(n)")} AS p3,
+    greatest({upper("(df + n * uneven - x2) / sqrt(2 * df + 4 * n * uneven)")} * pow(f, n), 1e-15) AS p4 FROM six
+), eight AS (
+  SELECT rid, s, e, least(p1, p2, p3, 1 / 3.0::DOUBLE) * 3 >= {BATTERY} AS passed, {" + ".join(f"(n >= {least})::INTEGER" for least in LENGTH_CLASSES)} AS class, least(floor(-log10(p4) * {P_STEPS}), {P_CELLS})::INTEGER AS cell FROM seven
+), cells AS (
+  SELECT class, cell, count(*) AS n, count(*) FILTER (passed) AS ok FROM eight GROUP BY ALL
+), sums AS (
+  SELECT class, cell, sum(n) OVER (PARTITION BY class) AS total, sum(ok) OVER (PARTITION BY class ORDER BY cell DESC) AS taken FROM cells
+), cuts AS (
+  SELECT class, min(cell) AS cut FROM sums WHERE taken > 0 AND total * pow(10, -cell / {P_STEPS}.0::DOUBLE) / taken <= {FDR} GROUP BY class
+), spans AS (
+  SELECT rid, s, kind, e FROM base UNION ALL SELECT rid, s, 3, e FROM eight JOIN cuts USING (class) WHERE passed AND cell >= cut
+), written AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg((['assign', 'access', 'hex', 'random'])[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans,
+    string_agg((['assign', 'access', 'hex', 'random'])[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN written USING (rid)
+"""
+
+
+OP2_SQL = _sql()

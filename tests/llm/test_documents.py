@@ -99,7 +99,7 @@ def test_shortest_pack_first():
 def test_fast_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
-    t, fast = Tokenizer.from_file(BPE), packing.encoder(BPE)
+    t, fast = Tokenizer.from_file(BPE), tokens.encoder(BPE)
     rng = random.Random(2)
     alphabet = list("abc XYZ'stre ll 've 123 \n\t\r\x0b\u00a0é😀中.,!?<|endoftext|>_-\x00") + ["<|endoftext|>", "  ", "'s", "\u2003"]
     for _ in range(400):
@@ -107,6 +107,27 @@ def test_fast_encoder_equals_the_library():
         assert fast(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_both_encoders_agree_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    t, fast = Tokenizer.from_file(BPE), tokens.ranked(BPE)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 20_000):
+        texts = [f"a{c}b {c}1{c} {c}{c}.{c} x" for c in map(chr, points[at : at + 20_000])]
+        for text, got in zip(texts, t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            assert fast(text).tolist() == got.ids
+    assert tokens.ranked(public_tokenizers.path("word_bpe_49k.json")) is None
+
+
+def test_other_tokenizers_use_their_own_library(edges):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(edges, path).toPandas().itertuples() if r.doc_id in (4, 5, 12)}
+    assert got == {r[0]: len(t.encode(r[1], add_special_tokens=False).ids) for r in edge_rows() if r[0] in (4, 5, 12)}
+
+
 def test_spliced_counts_equal_whole_counts():
     t = tokens.load(BPE)
     rng = random.Random(3)
@@ -321,3 +342,20 @@ def test_compiled_rules_equal_numpy(spark):
     frame = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i int, s array<double>")
     got = [r.p for r in frame.orderBy("i").select(rules.compiled((bias, weighted), F.col("s")).alias("p")).collect()]
     assert np.allclose(got, want)
+
+
+def test_secrets_against_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(16)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(b64) for _ in range(rng.randint(20, 80))) + rng.choice(["", "=", "=="]) for _ in range(60)]
+    words = ["".join(rng.choice(["tion", "ment", "er", "ing", "the", "an"]) for _ in range(8)) for _ in range(200)] + ["20240102" * 3, "token=" + keys[0], "x=" + keys[1], "é😀 " + keys[2] + "," + keys[3]]
+    rows = [(i, f"say {k} now 😀 {k}" if i % 3 else k) for i, k in enumerate(keys + words)] + [(999, None)]
+    pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got = secrets.op2_query(spark, str(tmp_path))
+    names = ", ".join(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(sql.execute(f"SELECT {names} FROM ({secrets.OP2_SQL})").fetchall())
+    assert sum("random" in r.spans for r in got.collect()) >= 60
