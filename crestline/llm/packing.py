@@ -13,7 +13,6 @@ no rows; columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -24,41 +23,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crestline.llm.common import bounded_batches, materialize
-from crestline.llm.tokens import load
+from crestline.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SHARD_ROWS = 400
-_RANKED: dict[str, object] = {}
-
-
-def _visible_bytes() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 for itself, the others from 256 on in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def encoder(path: str):
-    """text -> ids as the tokenizers library gives them for the byte-level vocabulary at path, by the faster rank-merging library
-    where merges come in id order (there both give the same ids), else by that library itself."""
-    if path not in _RANKED:
-        spec = json.load(open(path, encoding="utf-8"))
-        pre, vocab, merges = spec.get("pre_tokenizer") or {}, spec["model"]["vocab"], spec["model"]["merges"]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        made = [vocab["".join(p)] for p in pairs]
-        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex") and not spec["normalizer"] and all(a < b for a, b in zip(made, made[1:]))
-        if plain and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
-            import public_tokenizers
-            import tiktoken
-
-            table = _visible_bytes()
-            ranks = {bytes(table[c] for c in token): i for token, i in vocab.items() if token not in special}
-            fast = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            _RANKED[path] = lambda text: np.asarray(fast.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
-        else:
-            _RANKED[path] = lambda text: np.asarray(load(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
-    return _RANKED[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, max_length: int = 2048, end_id: int = 1) -> DataFrame:

@@ -1,6 +1,6 @@
 """Token counts by overlap resynchronisation (operator 6).
 
-Texts of up to ``chunk_chars`` are encoded whole, in batches of bounded size. A longer text is encoded in
+Texts of up to ``chunk_chars`` are encoded whole, in batches of bounded size, by the faster of two libraries where both give the same ids. A longer text is encoded in
 overlapping chunks with offsets. Two neighbouring chunks are spliced at a position where both begin a word of the
 pre-tokenizer: its matches look ahead only, so from a common match boundary on both chunks see the same words. A boundary counts as stable if
 it lies at least ``MARGIN`` characters before the end of the left chunk (nothing that decides it is cut off there) and behind
@@ -13,6 +13,7 @@ an empty table; columns besides doc_id and text are ignored; a null doc_id is ke
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from crestline.llm.common import bounded_batches
 MARGIN = 64  # longer than any special string or contraction the pre-tokenizer looks at
 BATCH_CHARS = 400_000
 _LOADED: dict[str, object] = {}
+_RANKED: dict[str, object] = {}
 
 
 def load(path: str):
@@ -44,6 +46,47 @@ def load(path: str):
     return _LOADED[path]
 
 
+def _visible_bytes() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 for itself, the others from 256 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _ranked(path: str):
+    """text -> ids by the rank-merging library from the vocabulary in a tokenizers file, if it is byte-level with merges in id order: then both
+    libraries give the same ids (tests compare them over all code points). None for any other file."""
+    if not path.endswith(".json"):
+        return None
+    spec = json.load(open(path, encoding="utf-8"))
+    pre, vocab, merges = spec.get("pre_tokenizer") or {}, spec["model"]["vocab"], spec["model"].get("merges") or []
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+    made = [vocab["".join(p)] for p in pairs if "".join(p) in vocab]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex") and not spec.get("normalizer")
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if not plain or len(made) < len(pairs) or any(a >= b for a, b in zip(made, made[1:])) or any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    import public_tokenizers
+    import tiktoken
+
+    table = _visible_bytes()
+    ranks = {bytes(table[c] for c in token): i for token, i in vocab.items() if token not in special}
+    fast = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: np.asarray(fast.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
+
+
+def ranked(path: str):
+    """_ranked(path), made once per Python worker."""
+    if path not in _RANKED:
+        _RANKED[path] = _ranked(path)
+    return _RANKED[path]
+
+
+def encoder(path: str):
+    """text -> ids as the tokenizers library gives them, by the faster library where both agree."""
+    return ranked(path) or (lambda text: np.asarray(load(path).encode(text, add_special_tokens=False).ids, dtype="<u4"))
+
+
 def _word_starts(encoding, text: str, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Global positions where a word starts with a visible character, and the index of its first token."""
     words = np.array([-1 if w is None else w for w in encoding.word_ids], dtype=np.int64)
@@ -94,7 +137,7 @@ def spliced_count(tokenizer, text: str, chunk: int, overlap: int) -> int:
 
 
 def _counts(texts: list[str], path: str, chunk: int, overlap: int) -> list[int]:
-    tokenizer = load(path)
+    tokenizer, fast = load(path), ranked(path)
     out = [0] * len(texts)
     if path.endswith(".model"):  # no offsets to splice by: whole texts
         for i, text in enumerate(texts):
@@ -108,8 +151,10 @@ def _counts(texts: list[str], path: str, chunk: int, overlap: int) -> list[int]:
         batch.clear()
 
     for i, text in enumerate(texts):
-        if len(text) > chunk:
+        if len(text) > chunk and fast:  # splicing is proven for the byte-level pre-tokenizer; with others whole texts are encoded
             out[i] = spliced_count(tokenizer, text, chunk, overlap)
+        elif text and fast:
+            out[i] = len(fast(text))
         elif text:
             batch.append(i)
             held += len(text)
