@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="crestline-")
+        local = tempfile.mkdtemp(prefix="crestline-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        where = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
