@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); set to a local one only where it is unset, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="crestline-")
+        local = tempfile.mkdtemp(prefix="crestline-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        where = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
@@ -68,6 +72,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def ids_and_texts(docs: DataFrame) -> DataFrame:
+    """<doc_id bigint, text>, whatever kind of integer the id is and whatever else docs has."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+
 def text_or_empty(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 

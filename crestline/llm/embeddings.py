@@ -115,7 +115,7 @@ def _keys(turned: np.ndarray, bits: int) -> np.ndarray:
 def _classes(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding")
     ok = F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
-    return vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("ok", F.coalesce(ok, F.lit(False)))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = SEED) -> DataFrame:

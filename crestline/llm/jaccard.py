@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import Scratch, bounded_batches
+from crestline.llm.common import Scratch, bounded_batches, ids_and_texts
 from crestline.llm.shingles import mix, sets
 from crestline.operators.components import connected_components
 
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataF
                     names=["doc_id", "n", "f1", "f2", "p1", "p2", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, SIGNATURE)
+    return ids_and_texts(docs).mapInArrow(sign, SIGNATURE)
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -124,7 +124,7 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 )
 
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    some = docs.select("doc_id", "text").join(wanted, docs["doc_id"] == F.col("id"), "left_semi")
+    some = ids_and_texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
     return some.mapInArrow(run, "doc_id long, f1 long, f2 long, shingles array<long>")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import bounded_batches, crc_mod
+from crestline.llm.common import bounded_batches, crc_mod, ids_and_texts
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, per_language: int = 5_000, buckets: int = BUCKETS)
             lang, score = score_texts(b.column(1).to_pylist(), *model.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    scored = ids_and_texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crestline.llm.common import bounded_batches, materialize
+from crestline.llm.common import bounded_batches, ids_and_texts, materialize
 from crestline.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_length: int = 2048, end_id:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return ids_and_texts(docs).mapInArrow(run, PIECES)
 
 
 def patterns(histogram: dict[int, int], max_length: int) -> list[tuple[int, tuple[int, ...]]]:

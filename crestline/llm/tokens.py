@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import bounded_batches
+from crestline.llm.common import bounded_batches, ids_and_texts
 
 MARGIN = 64  # longer than any special string or contraction the pre-tokenizer looks at
 BATCH_CHARS = 400_000
@@ -177,7 +177,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk_
             n = pa.array(_counts(text.to_pylist(), tokenizer_path, chunk_chars, overlap_chars), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pc.cast(pc.binary_length(text), pa.int64()), n], names=["doc_id", "n_bytes", "n_tokens"])
 
-    counted = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = ids_and_texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
