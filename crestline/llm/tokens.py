@@ -83,8 +83,20 @@ def ranked(path: str):
 
 
 def encoder(path: str):
-    """text -> ids as the tokenizers library gives them, by the faster library where both agree."""
-    return ranked(path) or (lambda text: np.asarray(load(path).encode(text, add_special_tokens=False).ids, dtype="<u4"))
+    """text -> ids as the tokenizers library gives them, by the faster library where both agree. The faster one refuses some texts, such as
+    those with a million white spaces in a row; the tokenizers library encodes these."""
+    fast = ranked(path)
+
+    def whole(text: str) -> np.ndarray:
+        return np.asarray(load(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return fast(text)
+        except ValueError:
+            return whole(text)
+
+    return encode if fast else whole
 
 
 def _word_starts(encoding, text: str, base: int) -> tuple[np.ndarray, np.ndarray]:

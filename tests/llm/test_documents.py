@@ -107,6 +107,19 @@ def test_fast_encoder_equals_the_library():
         assert fast(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space_are_packed(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b <|endoftext|>", "short"]
+    want = {i: [*t.encode(text, add_special_tokens=False).ids, 1] for i, text in enumerate(texts)}
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE).collect()
+    assert sum(r.length for r in got) == sum(map(len, want.values()))
+    for r in got:
+        part = np.array(want[r.doc_id][r.start : r.start + 2048], "<u4")
+        assert (r.length, r.ids_crc32, r.doc_tokens) == (len(part), zlib.crc32(part.tobytes()), len(want[r.doc_id]))
+
+
 def test_both_encoders_agree_on_every_code_point():
     from tokenizers import Tokenizer
 
