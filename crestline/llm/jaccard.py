@@ -1,6 +1,6 @@
 """Similarity join on shingle sets by a grouped prefix join (operator 3).
 
-Exact for the Jaccard threshold, given 64-bit shingle hashes:
+Exact for the Jaccard threshold, given 64-bit hashes of shingles and of sets:
 
 1. Counting: shingles with low hashes, and those frequent within any block of rows, are counted over the corpus; those in ``FREQUENT`` documents (the ``heavy``
    most frequent, a bounded broadcast) come last in the order of shingles, all others by hash. Any total order gives right results; this one keeps
@@ -11,7 +11,7 @@ Exact for the Jaccard threshold, given 64-bit shingle hashes:
 4. Completion round: of each list only pairs in different components remain; they are filtered (pair-specific prefix lengths), expanded and
    verified likewise. So no pair that could join two components is left out, while a group of thousands of near copies costs one star.
 
-Defined results: a text without words (or null) has size 0 and is alone; fewer words than ``k`` are one shingle; rows that share a doc_id are one node;
+Defined results: a text without words (or null) has size 0 and is alone; fewer words than ``k`` are one shingle; rows that share a doc_id are one node, whatever their texts;
 a null doc_id is alone unless its set occurs elsewhere; an empty table gives no rows; columns besides doc_id and text are ignored.
 """
 
@@ -138,11 +138,12 @@ class _Join:
         keep = self.scratch.put
         self.signed = keep(signatures(docs, k, percent, heavy_shingles(docs, k, self.scratch, heavy)), "signatures")
         classes = self.signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
-        groups = classes.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
-        self.members = keep(classes.join(groups, ["n", "p1", "p2"]).select("rep", "gid", "n", "f1", "f2"), "members")
-        heads = self.members.filter("rep = gid").select(F.col("gid").alias("h_id"), F.col("f1").alias("h1"), F.col("f2").alias("h2"))
+        classes = classes.withColumn("key", F.col("f1"))  # not rep: a doc_id with two texts can be the smallest of two classes
+        groups = classes.groupBy("n", "p1", "p2").agg(F.min("key").alias("gid"))
+        self.members = keep(classes.join(groups, ["n", "p1", "p2"]).select("key", "rep", "gid", "n", "f1", "f2"), "members")
+        heads = self.members.filter("key = gid").select("gid", F.col("rep").alias("h_id"), F.col("f1").alias("h1"), F.col("f2").alias("h2"))
         own = self.signed.filter("n > 0").join(heads, (F.col("doc_id") == F.col("h_id")) & (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2")))
-        self.groups = keep(own.select(F.col("h_id").alias("gid"), "n", "prefix").dropDuplicates(["gid"]), "groups")
+        self.groups = keep(own.select("gid", "n", "prefix").dropDuplicates(["gid"]), "groups")
         posts = self.groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
         shared = self.groups.select("gid", F.explode("prefix").alias("l_token")).groupBy("l_token").agg(F.count("*").alias("many"), F.min("gid").alias("leader")).filter("many > 1")
         self.lists = keep(posts.join(shared, F.col("token") == F.col("l_token")).select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), "leader"), "lists")
@@ -162,32 +163,44 @@ class _Join:
         beyond = _ceil(F.greatest("na", "nb") * self.percent, 100) - 1  # most shingles that a set has behind its prefix
         return both.filter(F.size(F.array_intersect("pa", "pb")) >= self._need(F.col("na"), F.col("nb")) - beyond).select("a", "b")
 
+    def same_document(self) -> DataFrame:
+        """Links of each doc_id with several sets (the empty one counts) to the classes of its sets."""
+        known = F.when(F.col("n") > 0, F.col("f1"))
+        several = self.signed.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("d_id")).agg(F.min(known).alias("lo"), F.max(known).alias("hi"), F.min("n").alias("least"))
+        several = self.scratch.put(several.filter("lo <> hi OR least = 0 AND lo IS NOT NULL").select("d_id"), "several")
+        own = self.signed.filter("n > 0").join(several, F.col("doc_id") == F.col("d_id")).select("d_id", F.col("f1").alias("d1")).distinct()
+        found = self.scratch.put(own.join(self.members, F.col("d1") == F.col("key")).select(F.col("d_id").alias("a"), F.col("rep").alias("b")), "same")
+        self.scratch.drop(several)
+        return found
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links among pairs of classes (a, b)."""
+        """Links, as smallest doc_ids of classes, among pairs of keys of classes (a, b)."""
         keep = self.scratch.put
         pairs = keep(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        ids = keep(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-        whole = _whole_sets(self.docs, ids, self.k)
-        marks = self.members.select(F.col("rep").alias("id"), F.col("f1").alias("m1"), F.col("f2").alias("m2"))
-        whole = keep(whole.join(marks, (F.col("doc_id") == F.col("id")) & (F.col("f1") == F.col("m1")) & (F.col("f2") == F.col("m2"))).select("id", "shingles").dropDuplicates(["id"]), "sets")
-        both = pairs.join(whole.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(whole.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        ids = keep(self.members.join(ids, F.col("key") == F.col("id")).select("key", F.col("rep").alias("id"), F.col("f1").alias("m1"), F.col("f2").alias("m2")), "ids")
+        whole = _whole_sets(self.docs, ids.select("id"), self.k)
+        whole = whole.join(ids, (F.col("doc_id") == F.col("id")) & (F.col("f1") == F.col("m1")) & (F.col("f2") == F.col("m2")))
+        whole = keep(whole.select("key", "id", "shingles").dropDuplicates(["key"]), "sets")
+        one, two = (whole.select(F.col("key").alias(x), F.col("id").alias(f"id_{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
+        both = pairs.join(one, "a").join(two, "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        found = keep(both.filter(common * (100 + self.percent) >= (F.size("sa") + F.size("sb")) * self.percent).select("a", "b"), "links")
+        found = keep(both.filter(common * (100 + self.percent) >= (F.size("sa") + F.size("sb")) * self.percent).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "links")
         self.scratch.drop(pairs, ids, whole)
         return found
 
     def links(self) -> DataFrame:
-        """Links between classes that connect all there are; between two classes of one component not every link is listed."""
+        """Links between classes, as their smallest doc_ids, that connect all there are; between two classes of one component not every link is listed."""
         keep, drop = self.scratch.put, self.scratch.drop
         star = self.lists.filter("gid <> leader").select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct()
         star = keep(self._filtered(star), "star")
-        inside = self.members.filter("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-        expanded = star.join(self.members.select(F.col("gid").alias("b"), "rep"), "b").select("a", F.col("rep").alias("b"))
-        first = self.verified(expanded.unionByName(inside))
+        inside = self.members.filter("key <> gid").select(F.col("gid").alias("a"), F.col("key").alias("b"))
+        expanded = star.join(self.members.select(F.col("gid").alias("b"), "key"), "b").select("a", F.col("key").alias("b"))
+        first = self.verified(expanded.unionByName(inside)).unionByName(self.same_document())
         drop(star)
 
         found = connected_components(first, lambda df: keep(df, "stars"), drop=drop)
-        placed = self.members.join(found, F.col("rep") == F.col("node"), "left").select("rep", "gid", F.coalesce("component", "rep").alias("c"))
+        placed = self.members.join(found, F.col("rep") == F.col("node"), "left").select("key", "gid", F.coalesce("component", "rep").alias("c"))
         placed = keep(placed, "placed")
         span = placed.groupBy("gid").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).withColumnRenamed("gid", "s_gid")
         lists = keep(self.lists.join(span, F.col("gid") == F.col("s_gid")).select("token", "gid", "n", "pos", "c0", "c1"), "spans")
@@ -201,8 +214,8 @@ class _Join:
         )
         pairs = x.join(y, "token").filter(possible).select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct()
         pairs = keep(self._filtered(pairs), "cross")
-        left = placed.select(F.col("gid").alias("a"), F.col("rep").alias("ra"), F.col("c").alias("ca"))
-        right = placed.select(F.col("gid").alias("b"), F.col("rep").alias("rb"), F.col("c").alias("cb"))
+        left = placed.select(F.col("gid").alias("a"), F.col("key").alias("ra"), F.col("c").alias("ca"))
+        right = placed.select(F.col("gid").alias("b"), F.col("key").alias("rb"), F.col("c").alias("cb"))
         apart = pairs.join(left, "a").join(right, "b").filter("ca <> cb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         torn = left.join(right.withColumnRenamed("b", "a"), "a").filter("ca < cb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         return first.unionByName(self.verified(apart.unionByName(torn)))
@@ -216,7 +229,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, heavy: int =
     placed = run.members.join(found, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("c_n"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.coalesce("component", "rep").alias("component_id"))
     some = run.signed.filter("n > 0").select("doc_id", "n", "f1", "f2")
     joined = some.join(placed, (F.col("n") == F.col("c_n")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left")
-    none = run.signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    none = run.signed.filter("n = 0").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(none)
 
 

@@ -233,6 +233,16 @@ def test_near_components(spark, monkeypatch, k, percent, heavy, frequent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, k, percent)
 
 
+def test_rows_that_share_a_doc_id_are_one_node(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, x), (1, y), (1, x), (2, x + " more"), (3, y + " more"), (4, z), (5, z + " more"), (5, ""), (6, "x1 y1 z1 w1"), (6, None), (7, "")]
+    rows += [(8 + i, t) for i in range(20) for t in (f"a{i} " + x.replace("x", f"l{i}x"), f"b{i} " + x.replace("x", f"r{i}x"))]  # smallest of two classes
+    rows += [(108 + i, t.replace("a", "c", 1).replace("b", "c", 1)) for i, t in ((i - 8, t) for i, t in rows if 8 <= i < 28)]
+    component = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7} | {8 + i: 8 + i for i in range(20)} | {108 + i: 8 + i for i in range(20)}
+    got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(shingles(t, 4)), component[i]) for i, t in rows)
+
+
 def test_near_components_on_documents(docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_components(docs, 4, 85).collect())
