@@ -1,8 +1,8 @@
-"""Embedding near-dedup by randomised-rotation binary codes with stored correction factors (operator 4).
+"""Embedding near-dedup by randomised-rotation binary codes with correction factors (operator 4).
 
 1. Equal vectors of one label collapse into a class (its smallest id, its size): thousands of copies are one row from here on.
 2. Every class vector is normalised and rotated by a random orthogonal matrix; the signs are its binary code, and the code's inner product
-   with its own vector is the stored correction factor f. For a vector q at cosine c, <code, q> = f c + noise whose deviation is
+   with its own vector is the correction factor f (both are computed anew in every cell). For a vector q at cosine c, <code, q> = f c + noise whose deviation is
    sqrt(1 - f^2) sqrt(1 - c^2) / sqrt(d - 1), so <code, q> / f estimates c without bias. A pair is recomputed exactly (double precision)
    only if the estimate's confidence bound reaches the threshold.
 3. Candidates share the bits of one of several disjoint slices of the code. Bits per slice grow with the logarithm of the largest label, and
