@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.session import keep
+from crestline.session import Scratch, keep
 
 
 def roots(parents: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """<keys, id, root> from a forest <keys, id, parent> where roots are their own parents. A round jumps twice, so paths shrink to a third."""
-    now = keep(parents.select(*keys, "id", "parent"))
-    while True:
-        up = now.select(*keys, F.col("id").alias("parent"), F.col("parent").alias("next"))
-        once = now.join(up, [*keys, "parent"]).select(*keys, "id", F.col("parent").alias("old"), F.col("next").alias("parent"))
-        twice = once.join(up.toDF(*up.columns), [*keys, "parent"])
-        moved = keep(twice.select(*keys, "id", F.col("next").alias("parent"), (F.col("next") != F.col("old")).alias("moved")))
-        now = moved.select(*keys, "id", "parent")
-        if moved.filter("moved").isEmpty():
-            return now.withColumnRenamed("parent", "root")
+    with Scratch() as run:
+        table = now = run.put(parents.select(*keys, "id", "parent"))
+        while True:
+            up = now.select(*keys, F.col("id").alias("parent"), F.col("parent").alias("next"))
+            once = now.join(up, [*keys, "parent"]).select(*keys, "id", F.col("parent").alias("old"), F.col("next").alias("parent"))
+            twice = once.join(up.toDF(*up.columns), [*keys, "parent"])
+            moved = run.put(twice.select(*keys, "id", F.col("next").alias("parent"), (F.col("next") != F.col("old")).alias("moved")))
+            run.drop(table)
+            table, now = moved, moved.select(*keys, "id", "parent")
+            if moved.filter("moved").isEmpty():
+                return run.leave(now.withColumnRenamed("parent", "root"), table)
 
 
 def _forest(graph: DataFrame, centers: DataFrame, noise: DataFrame | None) -> DataFrame:
@@ -34,9 +36,10 @@ def densest_labels(graph: DataFrame, centers: DataFrame, noise: DataFrame | None
 
 def labels(graph: DataFrame, centers: DataFrame, noise: DataFrame | None = None) -> DataFrame:
     """<id, cluster> where a cluster is named by its largest id."""
-    found = keep(densest_labels(graph, centers, noise).withColumnRenamed("cluster", "root"))
-    names = found.groupBy("root").agg(F.max("id").alias("cluster"))  # partial aggregates first, so a cluster of any size is fine
-    return found.join(names, "root").select("id", "cluster")
+    with Scratch() as run:
+        found = keep(densest_labels(graph, centers, noise).withColumnRenamed("cluster", "root"))
+        names = found.groupBy("root").agg(F.max("id").alias("cluster"))  # partial aggregates first, so a cluster of any size is fine
+        return run.leave(found.join(names, "root").select("id", "cluster"), found)
 
 
 def legacy_labels(graph: DataFrame, rho_cutoff: float, delta_cutoff: float, center_rho_cutoff: float) -> DataFrame:

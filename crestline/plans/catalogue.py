@@ -10,7 +10,7 @@ from crestline.operators.knn import exact_knn, nearest_centroid, recall
 from crestline.operators.vectors import points
 from crestline.plans import dpc, report
 from crestline.plans.oracles import CLUSTERS, DELTA_E, K, ORACLES, SKETCH, planes
-from crestline.session import keep
+from crestline.session import Scratch, keep
 from crestline.sources import text
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -55,9 +55,11 @@ def _long_ranks(knn: DataFrame) -> DataFrame:
 
 
 def _graph(pts: DataFrame, how=density.kth) -> DataFrame:
-    knn = _knn(pts)
-    rho = keep(how(knn))
-    return keep(rho.join(dependent.dependent_points(pts, knn, rho), "id"))
+    with Scratch() as run:
+        knn = _knn(pts)
+        rho = keep(how(knn))
+        graph = keep(rho.join(dependent.dependent_points(pts, knn, rho), "id"))
+        return run.leave(graph, graph)
 
 
 def _labelled(pts: DataFrame, num_clusters: int = CLUSTERS) -> DataFrame:
@@ -88,7 +90,9 @@ def _restricted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _table(spark: SparkSession, d: str) -> DataFrame:
-    return keep(metrics.contingency(_truth(spark, d), _labelled(E(spark, d))))
+    with Scratch() as run:
+        table = keep(metrics.contingency(_truth(spark, d), _labelled(E(spark, d))))
+        return run.leave(table, table)
 
 
 def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
@@ -183,7 +187,7 @@ def _approximate(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         pts = keep(E(spark, d))
         edges = keep(graphs.build(pts, kind, 32, 64, 1.1, 6, 100))
-        found = graphs.graph_knn(edges, pts, K + 1, 64)
+        found = graphs.neighbours(pts, K + 1, kind, edges, 64)
         return recall(found, exact_knn(pts, K + 1)).join(F.broadcast(graphs.degrees(edges)))  # one row each
 
     return run

@@ -244,7 +244,7 @@ def test_recall_of_graphs(blobs, kind):
     assert graphs.degrees(edges).first().max_degree <= 16
     exact = keep(exact_knn(pts, 7))
     assert recall(graphs.graph_knn(edges, pts, 7, 48), exact).first().recall > 0.9
-    assert recall(graphs.join_knn(edges, pts, 7), exact).first().recall > 0.6
+    assert recall(graphs.join_knn(edges, pts, 7, 48), exact).first().recall > 0.9
 
 
 def test_graph_dependents_with_few_left_are_exact(blobs):
@@ -255,16 +255,23 @@ def test_graph_dependents_with_few_left_are_exact(blobs):
     assert by_id(graphs.graph_dependent_points(edges, pts, knn, rho), "dep") == by_id(dependent.dependent_points(pts, knn, rho), "dep")
     searched = by_id(graphs.graph_dependent_points(edges, pts, knn, rho, few=0), "dep")
     assert sum(v is None for v in searched.values()) == 1
+    joined = by_id(graphs.join_dependent_points(edges, pts, knn, rho, few=0), "dep")
+    assert sum(v is None for v in joined.values()) == 1 and sum(joined[i] == v for i, v in by_id(dependent.dependent_points(pts, knn, rho), "dep").items()) > 0.97 * len(joined)
 
 
-@pytest.mark.parametrize("kind", ["pyNNDescent", "HCNNG"])
+@pytest.mark.parametrize("kind", ["pyNNDescent", "HCNNG", "Vamana"])
 def test_graphs_beyond_the_broadcast_bound(blobs, monkeypatch, kind):
     pts, truth = blobs
-    monkeypatch.setattr(session, "BROADCAST_BYTES", 100)
-    found = dpc.cluster(pts, K=6, center_finder=dpc.Threshold(8.36), Lbuild=32, max_degree=16, graph_type=kind)
+    exact = dpc.cluster(pts, K=6, center_finder=dpc.Threshold(8.36), graph_type="BruteForce").clusters
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(graphs, "SHARD", 120)
+    monkeypatch.setattr(graphs.join_dependent_points, "__defaults__", (4, 3, 0, None))  # no exact search instead of joins
+    options = {} if kind == "Vamana" else {"Lbuild": 32, "max_degree": 16, "graph_type": kind}
+    found = dpc.cluster(pts, center_finder=dpc.Threshold(8.36), **options)
     assert metrics.evaluate(truth, found.clusters, ("ARI",))["ARI"] > 0.95
+    assert metrics.evaluate(exact.withColumnRenamed("cluster", "label"), found.clusters, ("ARI",))["ARI"] > 0.95
     with pytest.raises(ValueError):
-        dpc.cluster(pts, graph_type="Vamana")
+        graphs.graph_knn(graphs.build(pts, "HCNNG"), pts, 3, 8)
 
 
 def test_complete_and_rerank(line, knn):
@@ -309,3 +316,44 @@ def test_baselines(blobs, spark):
     assert metrics.evaluate(truth, near, ("ARI",))["ARI"] == 1.0
     assert nearest_centroid(pts, pts).filter("id <> nbr").count() == 0
     assert len(baselines.grid()) == 65 or all(r * i <= 100 for r, i in baselines.grid())
+
+
+def test_legacy_search_beyond_the_broadcast_bound(blobs, monkeypatch):
+    pts, truth = blobs
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    for kind in ("HCNNG", "Vamana"):
+        found = dpc.legacy_cluster(pts, 6, 0.0, 8.36, 0.0, graph_type=kind, Lbuild=32, max_degree=16, L=32).clusters
+        assert metrics.evaluate(truth, found, ("ARI",))["ARI"] > 0.95
+
+
+def test_intermediate_tables_go(spark, monkeypatch, tmp_path):
+    def names():
+        return sorted(p.name for p in tmp_path.iterdir())
+
+    with monkeypatch.context() as patch:
+        patch.setattr(session, "shared_dir", lambda spark: f"file://{tmp_path}")
+        with session.Scratch() as run:
+            kept, _ = run.put(spark.range(3)), keep(spark.range(4))
+            with session.Scratch() as inner:
+                deeper = inner.put(spark.range(5))
+                inner.leave(deeper, deeper)
+            assert deeper.count() == 5
+            run.leave(kept, kept)
+        assert kept.count() == 3 and len(names()) == 1
+        with pytest.raises(ZeroDivisionError), session.Scratch() as run:
+            run.leave(keep(spark.range(3)), inherited=True)
+            1 / 0
+        with pytest.raises(Exception, match="for this test"), session.Scratch() as run:
+            run.put(spark.sql("SELECT raise_error('for this test') AS x"))
+        assert len(names()) == 1
+
+
+def test_shared_folder():
+    from types import SimpleNamespace as Some
+
+    made = lambda master, where: Some(conf=Some(get=lambda key, default: where), sparkContext=Some(master=master, applicationId="some"))
+    assert session.shared_dir(made("spark://a:1", "hdfs://x/y/")) == "hdfs://x/y"
+    assert session.shared_dir(made("local[2]", None)) == session.shared_dir(made("local", None)) != session.shared_dir(made("local", "/z"))
+    for master in ("spark://a:1", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(made(master, None))
