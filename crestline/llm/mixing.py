@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crestline.llm.common import WORD, materialize, text_or_empty
+from crestline.llm.common import WORD, running, text_or_empty, whole_row
+from crestline.session import Scratch
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -62,14 +63,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     )
 
 
-def _taken(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], cap: int, range_rows: int) -> DataFrame:
-    """rows with source_size, target, taken and copies. sized: the rows' own columns, materialized."""
+def _taken(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], cap: int, range_rows: int, run: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """rows with source_size, target, taken and copies, and the tables that this reads. sized: the rows' own columns, written."""
     ranges = sized.groupBy("__source").agg(F.ceil(F.count("*") / range_rows).alias("__ranges"))
-    ranges = materialize(ranges.select(F.col("__source").alias("__of"), "__ranges"), "ranges")  # a row for each source
+    ranges = run.put(ranges.select(F.col("__source").alias("__of"), "__ranges"), "ranges")  # a row for each source
     sums = _ranged(sized, ranges).groupBy("__source", "__range").agg(F.sum("__size").alias("__words"))
-    sums = sums.withColumn("__before", F.sum("__words").over(W.partitionBy("__source").orderBy("__range")) - F.col("__words"))
+    sums = run.put(sums, "sums")
     goal = targets(sums.groupBy("__source").agg(F.sum("__words").alias("source_size")), weights, cap)
-    offsets = sums.join(goal, "__source").select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), "__before", "source_size", "target")
+    offsets = running(sums, "__source", "__range", "__words", "__before").join(goal, "__source").select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), "__before", "source_size", "target")
     rows = _ranged(rows, ranges)
     within = W.partitionBy("__source", "__range").orderBy("__key", "__doc", "__size").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("__upto", F.sum("__size").over(within))
@@ -79,7 +80,7 @@ def _taken(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], cap: int
     part = F.least(F.greatest(budget - F.col("__epochs") * F.col("source_size") - (F.col("__before") + F.col("__upto") - F.col("__size")), F.lit(0)), F.col("__size"))
     rows = rows.withColumn("__part", part)
     whole = F.col("__epochs") + F.when((F.col("__size") > 0) & (2 * F.col("__part") >= F.col("__size")), 1).otherwise(0)
-    return rows.withColumn("taken", F.col("__epochs") * F.col("__size") + F.col("__part")).withColumn("copies", F.when(F.col("__size") > 0, whole).otherwise(0).cast("long"))
+    return rows.withColumn("taken", F.col("__epochs") * F.col("__size") + F.col("__part")).withColumn("copies", F.when(F.col("__size") > 0, whole).otherwise(0).cast("long")), [ranges, sums]
 
 
 def _ranged(rows: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -90,16 +91,19 @@ def _ranged(rows: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, taken, and copies (whole documents nearest to what is taken) of every row."""
-    sized = materialize(docs.select(*_sized(docs, seed)), "sizes")
-    return _taken(sized, sized, weights, cap, range_rows).select(F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "taken", "copies")
+    with Scratch() as run:
+        sized = run.put(docs.select(*_sized(docs, seed)), "sizes")
+        out, read = _taken(sized, sized, weights, cap, range_rows, run)
+        return run.leave(out.select(F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "taken", "copies"), sized, *read)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mix itself: the rows of docs, each as often as whole documents are taken (the one at a cut if at least half of it is)."""
-    sized = materialize(docs.select(*_sized(docs, seed)), "sizes")
-    packed = docs.select(*_sized(docs, seed), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    out = _taken(packed, sized, weights, cap, range_rows).filter("copies > 0")
-    return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")
+    with Scratch() as run:
+        sized = run.put(docs.select(*_sized(docs, seed)), "sizes")
+        out, read = _taken(docs.select(*_sized(docs, seed), whole_row(docs)), sized, weights, cap, range_rows, run)
+        out = out.filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")
+        return run.leave(out, *read)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crestline.llm.common import bounded_batches, ids_and_texts, materialize
+from crestline.llm.common import bounded_batches, ids_and_texts, running
 from crestline.llm.tokens import encoder
+from crestline.session import Scratch
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SHARD_ROWS = 400
@@ -94,20 +95,22 @@ def slots(found: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int,
 def pack(docs: DataFrame, tokenizer_path: str, max_length: int = 2048, end_id: int = 1) -> DataFrame:
     """Each piece with its sequence_id and offset."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer_path, max_length, end_id), "pieces")
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_length rows
-    places = slots(patterns(histogram, max_length))
-    # As many shards as a length needs; a row for each length, so at most max_length rows are broadcast.
-    shards = spark.createDataFrame([(length, -(-n // SHARD_ROWS)) for length, n in histogram.items()], "h_length long, shards long")
-    sharded = cut.join(F.broadcast(shards), F.col("length") == F.col("h_length")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("shards")))
-    before = sharded.groupBy("length", "shard").agg(F.count("*").alias("n"))
-    before = before.select("length", "shard", (F.sum("n").over(W.partitionBy("length").orderBy("shard")) - F.col("n")).alias("before"))
-    within = W.partitionBy("length", "shard").orderBy("doc_id", "start", "ids_crc32")
-    ranked = sharded.withColumn("r", F.row_number().over(within).cast("long") - 1).join(before, ["length", "shard"]).withColumn("rank", F.col("before") + F.col("r"))
-    table = spark.createDataFrame(places, "s_length long, lo long, hi long, first long, offset long")  # bounded by lengths and patterns, not by rows
-    return ranked.join(F.broadcast(table), (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"
-    )
+    with Scratch() as run:
+        cut = run.put(pieces(docs, tokenizer_path, max_length, end_id), "pieces")
+        histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_length rows
+        places = slots(patterns(histogram, max_length))
+        # As many shards as a length needs; a row for each length, so at most max_length rows are broadcast.
+        shards = spark.createDataFrame([(length, -(-n // SHARD_ROWS)) for length, n in histogram.items()], "h_length long, shards long")
+        sharded = cut.join(F.broadcast(shards), F.col("length") == F.col("h_length")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("shards")))
+        before = sharded.groupBy("length", "shard").agg(F.count("*").alias("n"))
+        before = running(before, "length", "shard", "n", "before").drop("n")
+        within = W.partitionBy("length", "shard").orderBy("doc_id", "start", "ids_crc32")
+        ranked = sharded.withColumn("r", F.row_number().over(within).cast("long") - 1).join(before, ["length", "shard"]).withColumn("rank", F.col("before") + F.col("r"))
+        table = spark.createDataFrame(places, "s_length long, lo long, hi long, first long, offset long")  # bounded by lengths and patterns, not by rows
+        out = ranked.join(F.broadcast(table), (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
+            "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"
+        )
+        return run.leave(out, cut)
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:

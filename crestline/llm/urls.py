@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import materialize
+from crestline.session import Scratch
 
 #: The rules, as host and path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -59,9 +59,9 @@ def _grams(shapes: DataFrame, *keep: str) -> DataFrame:
     return shapes.select(*keep, F.explode(grams).alias("gram"))
 
 
-def _log_ratios(learned: DataFrame, events: DataFrame) -> DataFrame:
+def _log_ratios(learned: DataFrame, events: DataFrame, run: Scratch) -> DataFrame:
     """gram and ratio (scaled log p(accepted) - log p(rejected)) of each event. learned: gram, a, b (accepted and rejected counts)."""
-    seen = materialize(learned.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "grams")
+    seen = run.put(learned.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "grams")
     out = events.select("gram", F.lit(1 / len(SYMBOLS)).alias("pa"), F.lit(1 / len(SYMBOLS)).alias("pb"))
     for k in range(ORDER + 1):
         cut = F.substr("gram", F.lit(ORDER + 1 - k), F.lit(k + 1))
@@ -105,20 +105,22 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     host, path = host_and_path(pages["url"])
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    base = materialize(base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), _shape(F.col("host"), F.col("path")).alias("shape")), "urls")
-    shapes = base.groupBy("shape").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("a"), F.count(F.when(F.col("ruled") == "block", 1)).alias("b"))
-    held = F.conv(F.substring(F.md5(F.col("shape").cast("binary")), 1, 7), 16, 10).cast("long") % HELD_BACK == 0
-    shapes = materialize(shapes.withColumn("held", held), "shapes")
-    model = materialize(_log_ratios(_grams(shapes.filter("NOT held AND a + b > 0"), "a", "b"), _grams(shapes).distinct()), "ratios")
-    model = F.broadcast(model) if model.count() <= BROADCAST_ROWS else model
-    mean = (F.sum("ratio") / F.count("*") / SCALE).alias("score")
-    scored = _grams(shapes.filter("shape <> ''"), "shape").join(model, "gram").groupBy("shape").agg(mean)
-    scored = materialize(scored.join(shapes, "shape").select("shape", "score", "a", "b", "held"), "scores")
-    cut = _cut(scored.filter("a + b > 0"))
-    marks = scored.select(F.col("shape").alias("s_shape"), "score")
-    out = base.join(marks, F.col("shape") == F.col("s_shape"), "left")
-    score = F.coalesce("score", F.lit(0.0))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score >= cut, "allow").otherwise("block")).alias("verdict"), score.alias("score"))
+    with Scratch() as run:
+        base = run.put(base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), _shape(F.col("host"), F.col("path")).alias("shape")), "urls")
+        shapes = base.groupBy("shape").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("a"), F.count(F.when(F.col("ruled") == "block", 1)).alias("b"))
+        held = F.conv(F.substring(F.md5(F.col("shape").cast("binary")), 1, 7), 16, 10).cast("long") % HELD_BACK == 0
+        shapes = run.put(shapes.withColumn("held", held), "shapes")
+        model = run.put(_log_ratios(_grams(shapes.filter("NOT held AND a + b > 0"), "a", "b"), _grams(shapes).distinct(), run), "ratios")
+        model = F.broadcast(model) if model.count() <= BROADCAST_ROWS else model
+        mean = (F.sum("ratio") / F.count("*") / SCALE).alias("score")
+        scored = _grams(shapes.filter("shape <> ''"), "shape").join(model, "gram").groupBy("shape").agg(mean)
+        scored = run.put(scored.join(shapes, "shape").select("shape", "score", "a", "b", "held"), "scores")
+        cut = _cut(scored.filter("a + b > 0"))
+        marks = scored.select(F.col("shape").alias("s_shape"), "score")
+        out = base.join(marks, F.col("shape") == F.col("s_shape"), "left")
+        score = F.coalesce("score", F.lit(0.0))
+        out = out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score >= cut, "allow").otherwise("block")).alias("verdict"), score.alias("score"))
+        return run.leave(out, base, scored)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
