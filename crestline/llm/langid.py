@@ -89,10 +89,11 @@ def fit(docs: DataFrame, per_language: int = 5_000, buckets: int = BUCKETS) -> t
     """Languages by code point, their log priors, and log probabilities by cell and language."""
     bounded_batches(docs.sparkSession)
     train = docs.filter(docs["lang"].isNotNull() & (crc_mod(docs["doc_id"], 4) != 2)).select("doc_id", "text", "lang")
-    rows = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = MODEL_BYTES // (len(ORDERS) * buckets * 4)
+    rows = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(rows) > most:
+        raise ValueError(f"more than {most} languages: the model would exceed {MODEL_BYTES} bytes; lower buckets")
     langs = sorted(rows, key=lambda s: s.encode())
-    if len(langs) * len(ORDERS) * buckets * 4 > MODEL_BYTES:
-        raise ValueError(f"{len(langs)} languages: the model would exceed {MODEL_BYTES} bytes; lower buckets")
     if not langs:
         return [], np.zeros(0), np.zeros((0, 0), np.float32)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_language / rows[lang]))])

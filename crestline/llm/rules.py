@@ -6,7 +6,7 @@ node is a conjunctive rule; a lasso logistic regression keeps at most ``most_rul
 are compiled into one Spark column expression, so scoring all texts is a projection without shuffle or Python.
 
 Defined results: a null or empty text has all statistics 0 and a score like any other; repeated rows repeat; labels that are null or for unknown
-documents are ignored, of contradicting labels of a document the smaller counts; without labels of both classes every score is the share of label 1
+documents are ignored, of contradicting labels of a document the smaller counts, of several texts of a labelled doc_id that with the smallest hash; without labels of both classes every score is the share of label 1
 (1 without any labels); an empty table gives no rows; other columns don't matter.
 """
 
@@ -33,11 +33,15 @@ def statistics(text: Column) -> Column:
     def count(x: Column, pattern: str) -> Column:
         return F.regexp_count(x["t"], F.lit(pattern)).cast("double")
 
+    def single(x: Column, pattern: str) -> Column:
+        """Matches of a pattern of one character: counted by deleting them, which makes no list of them."""
+        return x["n"] - F.length(F.regexp_replace(x["t"], pattern, ""))
+
     def measured(x: Column) -> Column:
         n, w, lines = F.greatest(x["n"], F.lit(1.0)), F.greatest(x["w"], F.lit(1.0)), F.greatest(F.size(x["l"]), F.lit(1)).cast("double")
         return F.array(
-            F.log1p(x["w"]), x["n"] / w, count(x, r"\p{Lu}+") / w, count(x, r"[0-9]") / n, count(x, r"[^\p{L}\p{N}\s]") / n, count(x, r"[#$%&*@~^_=<>{}\[\]\\]+|!!+") / w,
-            count(x, r"\|") / w, count(x, r"[.?](?=\s|$)") / w, x["w"] / lines, 1 - F.size(F.array_distinct(x["l"])) / lines, count(x, r"\p{Lu}\p{Lu}+") / w,
+            F.log1p(x["w"]), x["n"] / w, count(x, r"\p{Lu}+") / w, (x["n"] - F.length(F.translate(x["t"], "0123456789", ""))) / n, single(x, r"[^\p{L}\p{N}\s]") / n, count(x, r"[#$%&*@~^_=<>{}\[\]\\]+|!!+") / w,
+            (x["n"] - F.length(F.translate(x["t"], "|", ""))) / w, single(x, r"[.?](?=\s|$)") / w, x["w"] / lines, 1 - F.size(F.array_distinct(x["l"])) / lines, count(x, r"\p{Lu}\p{Lu}+") / w,
             count(x, r"(?<!\S)(\S++)\s\1(?!\S)") / w,
         )
 
@@ -140,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[flo
     unit = F.pmod(F.xxhash64(F.col("l_doc"), F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = F.broadcast(known.filter(unit < share))  # about ``sample`` rows of two numbers
     docs = docs.select("doc_id", "text")
-    rows = docs.join(some, docs["doc_id"] == F.col("l_doc")).select("doc_id", statistics(text_or_empty(docs)).alias("stats"), "quality").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = docs.join(some, docs["doc_id"] == F.col("l_doc")).select("doc_id", F.struct(statistics(text_or_empty(docs)).alias("stats"), "quality").alias("row"), F.xxhash64(text_or_empty(docs)).alias("mark"))
+    rows = rows.groupBy("doc_id").agg(F.min_by("row", "mark").alias("row")).select("doc_id", "row.*").toPandas().sort_values("doc_id")
     x = np.array(rows["stats"].tolist(), dtype=np.float64).reshape(len(rows), len(STATISTICS))
     return fit_rules(x, rows["quality"].to_numpy(dtype=np.float64))
 
