@@ -9,18 +9,19 @@ from crestline.session import Scratch, keep
 
 
 def roots(parents: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """<keys, id, root> from a forest <keys, id, parent> where roots are their own parents. A round jumps twice, so paths shrink to a third."""
+    """<keys, id, root> from a forest <keys, id, parent> where roots are their own parents. A round jumps twice, so paths shrink to a third; points that have
+    reached a root rest, so that each joins a large cluster's root once."""
     with Scratch() as run:
-        table = now = run.put(parents.select(*keys, "id", "parent"))
-        while True:
+        now = run.put(parents.select(*keys, "id", "parent", (F.col("id") == F.col("parent")).alias("done")))
+        while not now.filter("NOT done").isEmpty():
             up = now.select(*keys, F.col("id").alias("parent"), F.col("parent").alias("next"))
-            once = now.join(up, [*keys, "parent"]).select(*keys, "id", F.col("parent").alias("old"), F.col("next").alias("parent"))
+            once = now.filter("NOT done").join(up, [*keys, "parent"]).select(*keys, "id", F.col("next").alias("parent"))
             twice = once.join(up.toDF(*up.columns), [*keys, "parent"])
-            moved = run.put(twice.select(*keys, "id", F.col("next").alias("parent"), (F.col("next") != F.col("old")).alias("moved")))
-            run.drop(table)
-            table, now = moved, moved.select(*keys, "id", "parent")
-            if moved.filter("moved").isEmpty():
-                return run.leave(now.withColumnRenamed("parent", "root"), table)
+            moved = twice.select(*keys, "id", F.col("next").alias("parent"), (F.col("next") == F.col("parent")).alias("done"))
+            after = run.put(now.filter("done").unionByName(moved))
+            run.drop(now)
+            now = after
+        return run.leave(now.select(*keys, "id", F.col("parent").alias("root")), now)
 
 
 def _forest(graph: DataFrame, centers: DataFrame, noise: DataFrame | None) -> DataFrame:

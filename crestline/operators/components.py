@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
     """node and component (its smallest node) for every node of an undirected edge table. keep materializes a round's result, drop forgets one."""
     now = keep(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     mark = None
-    while True:
+    while not (mark is None and now.isEmpty()):
         before, now = now, keep(_small(_large(now)))
         drop(before)
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from crestline.operators.knn import exact_knn, nearest_centroid, recall
 from crestline.operators.vectors import points
 from crestline.plans import dpc, report
 from crestline.plans.oracles import CLUSTERS, DELTA_E, K, ORACLES, SKETCH, planes
-from crestline.session import Scratch, keep
-from crestline.sources import text
+from crestline.session import Scratch, keep, shared_dir
+from crestline.sources import sinks, text
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -172,6 +174,52 @@ def _union(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def _degrees(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as edges from orders to parts."""
+    return graphs.degrees(_read(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
+def _nonzero(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 3).cast("double").alias("homogeneity"), (F.col("s_suppkey") % 4).cast("double").alias("completeness"))
+    return report.without_zero_metrics(rows)
+
+
+def _written(spark: SparkSession, write) -> str:
+    """A path in the shared folder, with what write puts there."""
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+def _labels_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Labels written as text in id order and read again; ids are line numbers, as vec_ids are."""
+    rows = _truth(spark, d).withColumnRenamed("label", "cluster")
+    return text.labels(spark, _written(spark, lambda path: sinks.clusters(rows, path)))
+
+
+def _graph_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A decision graph written as text in id order and read again."""
+    pts = E(spark, d).select("id")
+    graph = pts.select("id", (1 / (F.col("id") + 1)).alias("rho"), F.when(F.col("id") > 0, F.sqrt(F.col("id").cast("double"))).alias("delta"), F.when(F.col("id") > 0, F.floor(F.col("id") / 2).cast("long")).alias("dep"))
+    return text.decision_graph(spark, _written(spark, lambda path: sinks.decision_graph(graph, path, text=True)))
+
+
+def _results_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Result files of two kinds, appended to a folder each, found by a pattern and united by name."""
+    a = _read(spark, d, "nation").select(F.col("n_name").alias("dataset"), F.col("n_nationkey").cast("long").alias("num_clusters"))
+    b = _read(spark, d, "region").select(F.col("r_name").alias("dataset"), F.lit("DBSCAN").alias("method"))
+    folder = _written(spark, lambda path: (sinks.append_results(a, f"{path}/a-1"), sinks.append_results(a, f"{path}/a-2"), sinks.append_results(b, f"{path}/b-1")))
+    return text.results(spark, f"{folder}/a-*", f"{folder}/b-*").select("dataset", F.col("num_clusters").cast("long").alias("num_clusters"), "method")
+
+
+def _self_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Two clusterings of the same points compared: ten clusters against forty."""
+    pts = E(spark, d)
+    graph = _graph(pts)
+    few, many = (assign.labels(graph, centers.by_product(graph, k)) for k in (CLUSTERS, 40))
+    return _rounded(metrics.adjusted_rand(keep(metrics.contingency(few.withColumnRenamed("cluster", "label"), many))))
+
+
 def _complete(spark: SparkSession, d: str) -> DataFrame:
     rows = _read(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("x"), F.when(F.col("s_suppkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.lit(1.0)).alias("y"))
     return report.complete_rows(rows, ["x", "y"])
@@ -197,6 +245,14 @@ def _dpc(spark: SparkSession, d: str) -> DataFrame:
     return dpc.cluster(E(spark, d), K, 64, 32, dpc.Product(CLUSTERS), Lbuild=64, max_degree=32, alpha=1.1).clusters
 
 
+def _gate(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate against exact clustering of the same points: the exact form's size, and whether their adjusted Rand index is above 0.95."""
+    exact = _labelled(E(spark, d))
+    table = keep(metrics.contingency(exact.withColumnRenamed("cluster", "label"), _dpc(spark, d)))
+    size = exact.agg(F.count("*").alias("points"), F.countDistinct("cluster").alias("clusters"))
+    return size.join(F.broadcast(metrics.adjusted_rand(table).select((F.col("ari") > 0.95).alias("agrees"))))  # one row each
+
+
 QUERIES = {
     "clusters_product": lambda s, d: _labelled(E(s, d)),
     "knn_exact": lambda s, d: _long_ranks(exact_knn(E(s, d), K + 1)),
@@ -254,10 +310,17 @@ QUERIES = {
     "cluster_ratio": _ratio,
     "union_results": _union,
     "complete_rows": _complete,
+    "graph_degrees": _degrees,
+    "nonzero_metrics": _nonzero,
+    "labels_scan": _labels_scan,
+    "decision_graph_scan": _graph_scan,
+    "results_scan": _results_scan,
+    "metric_ari_of_two": _self_compared,
     "distinct_count": lambda s, d: report.distinct_count(_read(s, d, "customer"), "c_mktsegment"),
     "knn_hcnng": _approximate("HCNNG"),
     "knn_nndescent": _approximate("pyNNDescent"),
     "knn_vamana": _approximate("Vamana"),
     "dpc_approx": _dpc,
+    "dpc_approx_gate": _gate,
     "kmeans": lambda s, d: baselines.kmeans(E(s, d), 10),
 }

@@ -76,11 +76,25 @@ def _clusters(points: str, centers: str) -> str:
 
 
 BY_PRODUCT = _clusters("E", _product(CLUSTERS))
-TABLE = f"""{BY_PRODUCT}, t AS (
-  SELECT e.label::BIGINT AS label, c.cluster, count(*) AS n FROM embeddings e JOIN clusters c ON c.id = e.vec_id GROUP BY ALL
-), m AS (
+TOTALS = """, m AS (
   SELECT *, sum(n) OVER (PARTITION BY label) AS a, sum(n) OVER (PARTITION BY cluster) AS b, sum(n) OVER () AS total FROM t
 ), la AS (SELECT DISTINCT label, a, total FROM m), lb AS (SELECT DISTINCT cluster, b, total FROM m)"""
+TABLE = f"""{BY_PRODUCT}, t AS (
+  SELECT e.label::BIGINT AS label, c.cluster, count(*) AS n FROM embeddings e JOIN clusters c ON c.id = e.vec_id GROUP BY ALL
+){TOTALS}"""
+ARI = """, s AS (
+  SELECT (SELECT sum(n)::DOUBLE FROM m) AS n, (SELECT sum(n * n)::DOUBLE FROM m) AS s, (SELECT sum(a * a)::DOUBLE FROM la) AS a, (SELECT sum(b * b)::DOUBLE FROM lb) AS b
+), q AS (SELECT s - n AS tp, b - s AS fp, a - s AS fn, n * n - (b - s) - (a - s) - s AS tn FROM s)
+SELECT round(CASE WHEN fp = 0 AND fn = 0 THEN 1 ELSE 2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) END, 8) AS ari FROM q"""
+
+
+def _second(text: str) -> str:
+    """The same tables for another choice of centers."""
+    for name in ("centers", "walk", "rooted", "clusters"):
+        text = text.replace(name, f"{name}_2")
+    return text
+
+
 INFO = """, i AS (
   SELECT (SELECT sum(n / total * ln(n * total / (a * b))) FROM m) AS mi, (SELECT -sum(a / total * ln(a / total)) FROM la) AS hc,
     (SELECT -sum(b / total * ln(b / total)) FROM lb) AS hk
@@ -151,16 +165,17 @@ graph AS (SELECT rho.id, rho.rho, d.dep, d.delta FROM rho LEFT JOIN d ON d.id =
 centers AS (SELECT id FROM graph WHERE NOT coalesce(dep IS NOT NULL AND rho > 0.75 AND (delta <= {DELTA_E} OR rho < 0.78), false)),
 {WALK} SELECT id, cluster FROM clusters""",
     "cluster_count": f"{BY_PRODUCT} SELECT count(DISTINCT cluster) AS num_clusters FROM clusters",
+    "dpc_approx_gate": f"{BY_PRODUCT} SELECT count(*) AS points, count(DISTINCT cluster) AS clusters, true AS agrees FROM clusters",
     "cluster_sizes": f"{BY_PRODUCT} SELECT cluster, count(*) AS n FROM clusters GROUP BY cluster",
     "largest_clusters": f"{_clusters('E', _product(60))} SELECT cluster, count(*) AS n FROM clusters GROUP BY cluster ORDER BY n DESC, cluster LIMIT 20",
     "singleton_clusters": f"{_clusters('E', _product(60))} SELECT id, cluster FROM clusters QUALIFY count(*) OVER (PARTITION BY cluster) <= 1",
     "sweep_k": _sweep([2, 5, 10, 40]),
     "metric_recall50_precision50": f"""{TABLE}, h AS (SELECT count(*) FILTER (n / (a + b - n) > 0.5) AS hits FROM m)
 SELECT round(hits / (SELECT count(*) FROM la), 8) AS recall50, round(hits / (SELECT count(*) FROM lb), 8) AS precision50 FROM h""",
-    "metric_ari": f"""{TABLE}, s AS (
-  SELECT (SELECT sum(n)::DOUBLE FROM m) AS n, (SELECT sum(n * n)::DOUBLE FROM m) AS s, (SELECT sum(a * a)::DOUBLE FROM la) AS a, (SELECT sum(b * b)::DOUBLE FROM lb) AS b
-), q AS (SELECT s - n AS tp, b - s AS fp, a - s AS fn, n * n - (b - s) - (a - s) - s AS tn FROM s)
-SELECT round(CASE WHEN fp = 0 AND fn = 0 THEN 1 ELSE 2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) END, 8) AS ari FROM q""",
+    "metric_ari": f"{TABLE}{ARI}",
+    "metric_ari_of_two": f"""{BY_PRODUCT}, {_second(_product(40))}, {_second(WALK)}, t AS (
+  SELECT c.cluster AS label, d.cluster, count(*) AS n FROM clusters c JOIN clusters_2 d ON c.id = d.id GROUP BY ALL
+){TOTALS}{ARI}""",
     "metric_homogeneity_completeness": f"""{TABLE}{INFO}
 SELECT round(CASE WHEN hc = 0 THEN 1 ELSE mi / hc END, 8) AS homogeneity, round(CASE WHEN hk = 0 THEN 1 ELSE mi / hk END, 8) AS completeness FROM i""",
     "metric_ami": f"""{TABLE}{INFO}, e AS (
@@ -199,5 +214,10 @@ SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 50)) + 1, 50)::BIGINT AS b
     "cluster_ratio": """SELECT c_mktsegment AS dataset, count(DISTINCT c_nationkey) AS num_clusters, count(*) AS gt_num_clusters, count(DISTINCT c_nationkey) / count(*) AS ratio FROM customer GROUP BY c_mktsegment""",
     "union_results": "SELECT n_name AS dataset, n_nationkey::BIGINT AS num_clusters, NULL::VARCHAR AS method FROM nation UNION ALL SELECT r_name, NULL, 'DBSCAN' FROM region",
     "complete_rows": "SELECT s_suppkey, s_acctbal AS x, 1.0::DOUBLE AS y FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0",
+    "graph_degrees": "SELECT avg(n) AS avg_degree, max(n) AS max_degree FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)",
+    "nonzero_metrics": "SELECT s_suppkey, (s_suppkey % 3)::DOUBLE AS homogeneity, (s_suppkey % 4)::DOUBLE AS completeness FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0",
+    "labels_scan": "SELECT vec_id::BIGINT AS id, label::BIGINT AS label FROM embeddings",
+    "decision_graph_scan": """SELECT vec_id::BIGINT AS id, 1 / (vec_id + 1)::DOUBLE AS rho, CASE WHEN vec_id > 0 THEN sqrt(vec_id::DOUBLE) END AS delta, CASE WHEN vec_id > 0 THEN vec_id::BIGINT // 2 END AS dep FROM embeddings""",
+    "results_scan": """SELECT n_name AS dataset, n_nationkey::BIGINT AS num_clusters, NULL::VARCHAR AS method FROM nation, range(2) UNION ALL SELECT r_name, NULL, 'DBSCAN' FROM region""",
     "distinct_count": "SELECT count(DISTINCT c_mktsegment) AS n FROM customer",
 }

@@ -7,18 +7,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+RANGES = 64  # of the x axis of a front
+
+
 def pareto(df: DataFrame, x: str, y: str, smallest_x: bool = True, by: list[str] | None = None) -> DataFrame:
-    """Rows on the front of small (or large) x and large y: in order of x, those with a y above all before."""
-    order = W.partitionBy(*(by or [])).orderBy(F.asc(x) if smallest_x else F.desc(x), F.desc(y))
-    before = F.max(y).over(order.rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col(y) > F.col("__before"))).drop("__before")
+    """One row for each point on the front of small (or large) x and large y: in order of x, those with a y above all before. Rows without a number as x or y
+    are on no front. The largest y of each x is all that counts; the axis is cut into ranges, whose largest y add up to what lies before a range."""
+    by = by or []
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    tops = known.groupBy(*by, F.col(x).alias("__x")).agg(F.max(y).alias("__y"))
+    place = F.col("__x").cast("double") * (1 if smallest_x else -1)
+    cuts = tops.agg(F.percentile_approx(place, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []  # RANGES numbers
+    tops = tops.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= place)) if cuts else F.lit(0))
+    ends = tops.groupBy(*by, "__range").agg(F.max("__y").alias("__top"))  # at most RANGES rows for each group
+    ends = ends.withColumn("__before", F.max("__top").over(W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))).drop("__top")
+    within = W.partitionBy(*by, "__range").orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    met = tops.withColumn("__inner", F.max("__y").over(within)).join(ends, [*by, "__range"])
+    before = F.greatest("__inner", "__before")  # nulls are passed over
+    front = met.filter(before.isNull() | (F.col("__y") > before)).select(*by, F.col("__x").alias(x), F.col("__y").alias(y))
+    rest = [c for c in df.columns if c not in (*by, x, y)]
+    if not rest:
+        return front.select(*df.columns)
+    return known.join(front, [*by, x, y]).groupBy(*by, x, y).agg(F.first(F.struct(*rest)).alias("__rest")).select(*[F.col("__rest")[c].alias(c) if c in rest else c for c in df.columns])
 
 
 def best_within(front: DataFrame, x: str, y: str, tolerance: float = 0.003, by: list[str] | None = None) -> DataFrame:
     """The first row of a front whose y is within tolerance of the last one."""
-    group = W.partitionBy(*(by or []))
-    near = front.withColumn("__best", F.max(y).over(group)).filter(F.abs(F.col(y) - F.col("__best")) < tolerance)
-    return near.withColumn("__r", F.row_number().over(group.orderBy(x))).filter("__r = 1").drop("__best", "__r")
+    by = by or []
+    best = front.groupBy(*by).agg(F.max(y).alias("__best"))
+    near = (front.join(best, by) if by else front.join(F.broadcast(best))).filter(F.abs(F.col(y) - F.col("__best")) < tolerance)  # without groups best is one row
+    first = near.groupBy(*by).agg(F.min_by(F.struct(*[F.col(c) for c in front.columns]), x).alias("__row"))
+    return first.filter("__row IS NOT NULL").select("__row.*")
 
 
 def matching(df: DataFrame, column: str, pattern: str) -> DataFrame:

@@ -210,6 +210,21 @@ def test_metrics(spark):
         metrics.evaluate(truth, truth.withColumnRenamed("label", "cluster"), ("nope",))
 
 
+def test_expected_information_of_large_tables():
+    """By ratios of neighbouring terms: the same as by factorials where these are exact, and finite far beyond."""
+    import pandas as pd
+
+    def plain(a, b, n):
+        ways = lambda m: math.comb(a, m) * math.comb(n - a, b - m) / math.comb(n, b)
+        return sum(ways(m) * m / n * math.log(n * m / (a * b)) for m in range(max(1, a + b - n), min(a, b) + 1))
+
+    for n, pairs in ((30, [(3, 4), (30, 7), (1, 1), (16, 20)]), (400, [(200, 150), (399, 1), (5, 390)])):
+        got = pd.concat(metrics._expected([pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "times": 1})], n)).e
+        assert np.allclose(got, [plain(a, b, n) for a, b in pairs], rtol=1e-9, atol=1e-12)
+    (far,) = (f.e[0] for f in metrics._expected([pd.DataFrame({"a": [4 * 10**9], "b": [10**9], "times": [1]})], 10**10))
+    assert 0 < far < 1e-9  # about 1 / (2 n)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (300, 300)] + [(400, 400 + i) for i in range(1, 50)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), keep).collect()}

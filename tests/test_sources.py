@@ -100,6 +100,29 @@ def test_fronts(runs):
     assert report.pareto(runs, "t", "acc", by=["dataset"]).count() == 4
 
 
+def test_fronts_over_many_ranges(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(rng.choice("ab"), rng.randint(0, 900) / 10, rng.randint(0, 10_000) + 100 * i % 977, i) for i in range(6_000)] + [("a", None, 5, 1), ("b", 1.0, None, 2)]
+    df = spark.createDataFrame(rows, "g string, x double, y long, i long")
+    for smallest in (True, False):
+        want = set()
+        for g in "ab":
+            top = None
+            for x in sorted({r[1] for r in rows if r[0] == g and r[1] is not None}, reverse=not smallest):
+                y = max(r[2] for r in rows if r[0] == g and r[1] == x and r[2] is not None)
+                if top is None or y > top:
+                    want.add((g, x, y))
+                    top = y
+        got = report.pareto(df, "x", "y", smallest, ["g"])
+        assert got.columns == df.columns and sorted((r.g, r.x, r.y) for r in got.collect()) == sorted(want)
+        assert all((r.g, r.x, r.y, r.i) in rows for r in got.collect())
+        best = {r.g: r.x for r in report.best_within(got, "x", "y", 500, ["g"]).collect()}
+        assert best == {g: min(x for h, x, y in want if h == g and y > max(y for h, _, y in want if h == g) - 500) for g in "ab"}
+    assert report.pareto(df.limit(0), "x", "y").count() == 0 and report.best_within(df.limit(0), "x", "y").count() == 0
+
+
 def test_reports(spark, runs):
     got = {(r.dataset, r.threads): r.speedup for r in report.speedup(runs, "dataset", "threads", "t").collect()}
     assert got[("a", 8)] == 0.25 and got[("b", 1)] == 1.0
