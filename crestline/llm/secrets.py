@@ -11,7 +11,8 @@ Base patterns give spans of three kinds. Beside them, runs of 20 or more key cha
   lengths, over all candidates of all documents, by a histogram of p-values (at most 3 x 601 cells reach the driver).
 
 A candidate that passes both is a span. Positions are code points, ends exclusive. Positions come from splitting the text at its matches:
-lengths of gaps and matches add up. Defined results: a null or empty text has no spans, base_sha256 of the empty text and empty spans; repeated rows
+lengths of gaps and matches add up, as running sums over the matches of a row; candidates that meet a base span are found by running ends and
+starts over its sorted spans. So the work grows with the number of matches, and only matches are shuffled, never texts. Defined results: a null or empty text has no spans, base_sha256 of the empty text and empty spans; repeated rows
 repeat; an empty table gives no rows; columns besides doc_id and text are ignored.
 """
 
@@ -20,9 +21,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crestline.llm.common import materialize, text_or_empty
+from crestline.llm.common import text_or_empty
+from crestline.session import Scratch
 
 #: The base patterns.
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,6 +33,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # runs, so the same as AKIA[A-Z0-9]+ of 16 charac
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
+LEAST = {"assign": 8}  # code points of a value
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Alphabets from small to large, and how often a character of ordinary text or numbers lies in each.
 ALPHABETS = (
@@ -47,22 +51,32 @@ LENGTH_CLASSES = (32, 64)
 P_STEPS, P_CELLS = 40, 600  # cells of 1/40 of a power of ten
 
 
-def _spans(text: Column, kind: str, pattern: str, value_group: int = 0, least: int = 0) -> Column:
-    """Matches of pattern as structs of start, end, kind number and value, in order; matches with a value shorter than least are left out."""
+def _hits(text: Column, kind: str, pattern: str, value_group: int = 0) -> Column:
+    """Matches of pattern in order, as structs of kind number, place among them, code points since the match before (or the beginning), own code points and value."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else hits
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    sizes = F.transform(hits, lambda h: F.length(h).cast("long"))
-    moves = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), sizes.alias("n"), values.alias("v"))
-    none = F.array().cast("array<struct<start:long,end:long,kind:int,value:string>>")
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+    none = F.array().cast("array<struct<kind:int,i:int,gap:long,n:long,value:string>>")
 
-    def add(state: Column, m: Column) -> Column:
-        start = state["at"] + m["g"]
-        span = F.struct(start.alias("start"), (start + m["n"]).alias("end"), F.lit(KINDS.index(kind)).alias("kind"), m["v"].alias("value"))
-        return F.struct((start + m["n"]).alias("at"), F.when(F.length(m["v"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def one(m: Column, i: Column) -> Column:
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), F.length(m["g"]).cast("long").alias("gap"), F.length(m["h"]).cast("long").alias("n"), m["v"].alias("value"))
 
-    found = F.aggregate(moves, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), add, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h"), values.alias("v")), one)).otherwise(none)
+
+
+def _placed(hits: DataFrame) -> DataFrame:
+    """__row, doc_id, kind, start, end and value of the matches that count; rows all of whose matches fall away keep one without a kind. hits: <__row, doc_id, hits>."""
+    m = hits.select("__row", "doc_id", F.explode("hits").alias("m")).select("__row", "doc_id", "m.*").repartition("__row")
+    upto = W.partitionBy("__row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    m = m.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(upto)).withColumn("start", F.col("end") - F.col("n"))
+    least = F.coalesce(*[F.when(F.col("kind") == KINDS.index(k), F.lit(n)) for k, n in LEAST.items()], F.lit(0))
+    base = (F.col("kind") < 3) & (F.length("value") >= least)
+    # Base spans that begin at or before a candidate, then those that begin at or behind it.
+    before = W.partitionBy("__row").orderBy("start", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    behind = W.partitionBy("__row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    m = m.withColumn("ended", F.max(F.when(base, F.col("end"))).over(before)).withColumn("begun", F.min(F.when(base, F.col("start"))).over(behind))
+    met = (F.coalesce("ended", F.lit(-1)) > F.col("start")) | (F.coalesce(F.col("begun") < F.col("end"), F.lit(False)))
+    return m.select("__row", "doc_id", F.when(base | (F.col("kind") == 3) & ~met, F.col("kind")).alias("kind"), "start", "end", "value")
 
 
 def _upper_normal(z: Column) -> Column:
@@ -132,8 +146,7 @@ def _cell(p: Column) -> Column:
 
 def _cuts(found: DataFrame, fdr: float) -> dict[int, int]:
     """By class of lengths, the first cell of p-values that counts as a discovery."""
-    judged = found.select(F.explode("candidates").alias("c"))
-    cells = judged.groupBy(_class(F.col("c.p.n")).alias("class"), _cell(F.col("c.p.text")).alias("cell")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("c.p.battery") >= BATTERY, 1).otherwise(0)).alias("passed"))
+    cells = found.filter("kind = 3").groupBy(_class(F.col("p.n")).alias("class"), _cell(F.col("p.text")).alias("cell")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("p.battery") >= BATTERY, 1).otherwise(0)).alias("passed"))
     by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for r in cells.collect():  # at most 3 x 601 rows
         by[r["class"]].append((r["cell"], r["n"], r["passed"]))
@@ -151,22 +164,20 @@ def _cuts(found: DataFrame, fdr: float) -> dict[int, int]:
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id and its spans, each with start, end, kind (0 assign, 1 access, 2 hex, 3 random) and value (assign: group 2), in order."""
     text = text_or_empty(docs)
-    found = docs.select("doc_id", _spans(text, "assign", ASSIGN, 1, 8).alias("assign"), _spans(text, "access", ACCESS).alias("access"), _spans(text, "hex", HEX).alias("hex"), _spans(text, "random", CANDIDATE).alias("candidates"))
-    found = found.select("doc_id", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "candidates")
-    found = found.select("doc_id", "base", F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))).alias("sorted"), "candidates")
-    alone = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    judged = F.transform(alone, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["value"].alias("value"), _judged(c["value"]).alias("p")))
-    found = materialize(found.select("doc_id", F.col("sorted").alias("base"), judged.alias("candidates")), "spans")
-    cuts = _cuts(found, fdr)
-
-    def flagged(c: Column) -> Column:
+    each = [_hits(text, "assign", ASSIGN, 1), _hits(text, "access", ACCESS), _hits(text, "hex", HEX), _hits(text, "random", CANDIDATE)]
+    with Scratch() as run:
+        hits = run.put(docs.select(F.monotonically_increasing_id().alias("__row"), docs["doc_id"], F.concat(*each).alias("hits")), "hits")
+        found = _placed(hits.filter(F.size("hits") > 0))
+        found = run.put(found.withColumn("p", F.when(F.col("kind") == 3, _judged(F.col("value")))), "spans")
         first = F.lit(P_CELLS + 1)
-        for k, cut in cuts.items():
-            first = F.when(_class(c["p"]["n"]) == k, F.lit(cut)).otherwise(first)
-        return (c["p"]["battery"] >= BATTERY) & (_cell(c["p"]["text"]) >= first)
-
-    plain = F.transform(F.filter("candidates", flagged), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["value"].alias("value")))
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", plain)).alias("spans"))
+        for k, cut in _cuts(found, fdr).items():
+            first = F.when(_class(F.col("p.n")) == k, F.lit(cut)).otherwise(first)
+        flagged = (F.col("kind") < 3) | (F.col("p.battery") >= BATTERY) & (_cell(F.col("p.text")) >= first)
+        span = F.when(flagged, F.struct("start", "kind", "end", "value"))
+        spans = found.groupBy("__row", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))  # no longer than the row's text
+        none = hits.filter(F.size("hits") == 0).select("doc_id", F.array().cast(dict(spans.dtypes)["spans"]).alias("spans"))
+        out = spans.select("doc_id", "spans").unionByName(none)
+        return run.leave(out.select("doc_id", F.filter("spans", lambda s: s["kind"] < 3).alias("base"), "spans"), hits, found)
 
 
 def _written(spans: str) -> Column:
