@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crestline.session import Scratch
-
 #: White space and words as every contract here means them, in Java, RE2 and Python syntax alike.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,11 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SIEVE_BITS = 1 << 24
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read back."""
-    return Scratch().put(df, label)
-
-
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Bound what one Arrow batch holds, so a run of very long texts can't fill a Python worker. It stays set: plans read it when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -173,21 +173,88 @@ def test_sentencepiece_counts(edges):
     assert got == {r[0]: len(model.encode(r[1])) for r in edge_rows() if r[0] in (4, 5, 12)}
 
 
+def normal(text):
+    return re.sub(r"[\x20\x09-\x0D]", "", text or "")
+
+
 def test_exact_groups(edges, monkeypatch):
     groups = defaultdict(list)
     for row in edge_rows():
-        groups[re.sub(r"[\x20\x09-\x0D]", "", row[1] or "")].append(row)
+        groups[normal(row[1])].append(row)
     want = Counter()
-    for normal, rows in groups.items():
-        best = min(rows, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0))[0]
-        for r in rows:
-            want[(r[0], best, len(rows), r[0] == best, hashlib.sha256(normal.encode()).hexdigest())] += 1
+    for text, rows in groups.items():
+        rows = sorted(rows, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0))
+        for i, r in enumerate(rows):  # repeated rows: one of them stays
+            want[(r[0], rows[0][0], len(rows), i == 0, hashlib.sha256(text.encode()).hexdigest())] += 1
     read = lambda df: Counter((None if pd.isna(r.doc_id) else int(r.doc_id), None if pd.isna(r.keep_id) else int(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in df.toPandas().itertuples())
     assert read(exact_dedup.exact_groups(edges)) == want
-    monkeypatch.setattr(exact_dedup, "_clash", lambda docs: True)  # identifiers are then the chunks' bytes
+    monkeypatch.setattr(exact_dedup, "_clash", lambda *_: True)  # identifiers are then the chunks' bytes
     assert read(exact_dedup.exact_groups(edges)) == want
 
 
+def test_clashing_digests_are_seen(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from crestline.session import Scratch
+
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(6)]
+    docs = spark.createDataFrame([*rows, (9, rows[0][1])], "doc_id long, text string")
+    clash = exact_dedup._clash
+    seen = []
+    monkeypatch.setattr(exact_dedup, "_clash", lambda *a: seen.append(clash(*a)) or seen[-1])
+    assert exact_dedup.drop_copies(docs).count() == 6 and seen == [False]
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n, sha2=F.sha2: F.substring(sha2(c, n), 1, 1))
+    with Scratch() as run:
+        assert exact_dedup.recipes(docs, run)[1] and seen[-1]
+    assert {r.doc_id: r.group_size for r in exact_dedup.exact_groups(docs).collect()} == {0: 2, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 2}
+
+
+def stay_exact(rows):
+    """Rows that stay in exact dedup: one of each normal form, the longest, then by doc_id (null last)."""
+    best = {}
+    for r in rows:
+        rank = (-len(r[1] or ""), r[0] is None, r[0] or 0)
+        if normal(r[1]) not in best or rank < best[normal(r[1])][0]:
+            best[normal(r[1])] = (rank, r)
+    return [r for _, r in best.values()]
+
+
+def stay_near(rows, k, percent):
+    """Rows that stay in near dedup, by comparing all pairs of texts: one of each component, the smallest doc_id; those without id or words all stay."""
+    free = [r for r in rows if r[0] is None or not shingles(r[1], k)]
+    rows = [r for r in rows if r[0] is not None and shingles(r[1], k)]
+    found = {}
+    for (at, _, c), r in zip(sorted(brute_components(list(enumerate(t for _, t, *_ in rows)), k, percent)), rows, strict=True):
+        found.setdefault(c, []).append(r)
+    return free, [{(r[0], r[1]) for r in group if r[0] == min(g[0] for g in group)} for group in found.values()]
+
+
+def repeated_rows():
+    """Rows that share doc_ids with equal and with different texts."""
+    unique = [" ".join(f"{c}{i}" for i in range(40)) for c in "pqrstuvw"]
+    rows = [(1, unique[0] + "  x"), (2, unique[0] + " x"), (2, unique[1]), (3, unique[2]), (3, unique[2]), (3, unique[2] + " "), (3, unique[3]), (4, unique[3]), (5, unique[4] + " y"), (6, unique[4] + " z"), (6, unique[5])]
+    rows += [(7, None), (7, ""), (8, " "), (None, unique[6]), (None, unique[6]), (9, unique[6]), (10, "a b"), (10, "a  b"), (11, unique[0].upper()), (12, unique[7]), (12, unique[7]), (12, unique[7])]
+    return [(*r, "x.y", {"k": i % 2}) for i, r in enumerate(rows)]
+
+
+def test_copies_and_near_copies_go_by_row(spark):
+    rows = repeated_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, __row map<string,int>").repartition(5)
+    got = exact_dedup.drop_copies(docs)
+    assert got.schema == docs.schema
+    want = stay_exact(rows)
+    assert Counter((r[0], r[1]) for r in got.collect()) == Counter((r[0], r[1]) for r in want)
+    near = jaccard.drop_near(docs, 5, 80)
+    assert near.schema == docs.schema
+    free, groups = stay_near(rows, 5, 80)
+    left = Counter((r[0], r[1]) for r in near.collect())
+    left.subtract(Counter((r[0], r[1]) for r in free))
+    for group in groups:
+        assert sum(left.pop(r, 0) for r in group) == 1
+    assert not +left and not -left
+    assert (6, [r for r in rows if r[0] == 6][1][1]) in {(r[0], r[1]) for r in near.collect()}  # its doc_id has a near copy of another text
+
+
 def shingles(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
@@ -215,9 +282,10 @@ def brute_components(rows, k, percent):
     return sorted((i, len(s), least[find(a)]) for a, (i, s) in enumerate(made))
 
 
-@pytest.mark.parametrize("k,percent,heavy,frequent", [(4, 85, 1 << 20, 16), (5, 80, 1 << 20, 2), (2, 50, 3, 2)])
-def test_near_components(spark, monkeypatch, k, percent, heavy, frequent):
+@pytest.mark.parametrize("k,percent,heavy,frequent,most", [(4, 85, 1 << 20, 16, 2_000), (5, 80, 1 << 20, 2, 3), (2, 50, 3, 2, 4), (1, 60, 3, 1 << 20, 5)])
+def test_near_components(spark, monkeypatch, k, percent, heavy, frequent, most):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "LIST", most)
     rng = random.Random(4)
     base = [[f"v{rng.randint(0, 400)}" for _ in range(rng.randint(3, 90))] for _ in range(25)]
     passage = [f"p{i}" for i in range(30)]
@@ -233,6 +301,20 @@ def test_near_components(spark, monkeypatch, k, percent, heavy, frequent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, k, percent)
 
 
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    """Texts over a small vocabulary share their shingles: no key of the join has more than a few blocks' worth of rows, and no pair is lost."""
+    monkeypatch.setattr(jaccard, "LIST", 8)
+    monkeypatch.setattr(jaccard, "FREQUENT", 1 << 20)
+    sides = []
+    cut = jaccard._Join.long_lists
+    monkeypatch.setattr(jaccard._Join, "long_lists", lambda self, lists: sides.append([s.cache() for s in cut(self, lists)]) or sides[-1])
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"v{rng.randint(0, 11)}" for _ in range(rng.randint(6, 14)))) for i in range(400)]
+    got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 75).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 1, 75)
+    assert sides and all(s.groupBy("token", "low", "step", "left", "right").count().agg({"count": "max"}).first()[0] <= 40 for s in sides[0])
+
+
 def test_rows_that_share_a_doc_id_are_one_node(spark):
     x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
     rows = [(1, x), (1, y), (1, x), (2, x + " more"), (3, y + " more"), (4, z), (5, z + " more"), (5, ""), (6, "x1 y1 z1 w1"), (6, None), (7, "")]
@@ -292,6 +374,21 @@ def test_secrets_against_brute_force(spark, docs):
         assert [(s.start, s.kind, s.end) for s in r.base] == base_spans(by[r.doc_id])
 
 
+def test_secrets_of_one_text_with_very_many_matches(spark):
+    """The time grows with the matches, not with their square: this took hours once."""
+    import time
+
+    docs = {n: spark.createDataFrame([(1, " ".join(f"AKIA{i:016d}" for i in range(n)) + " token=abcdefgh12")], "doc_id long, text string") for n in (50_000, 200_000)}
+    took = {}
+    for n, frame in docs.items():
+        began = time.time()
+        (r,) = secrets.scan(frame).select("base", "spans").collect()
+        took[n] = time.time() - began
+        assert len(r.base) == len(r.spans) == n + 1 and r.spans[n - 1]["end"] == 21 * n - 1
+    print("seconds", took)
+    assert took[200_000] < 60
+
+
 def test_random_keys_are_found_and_words_are_not(spark):
     rng = random.Random(6)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -334,6 +431,78 @@ def test_bayes_scores_against_plain_python():
         assert lang == "abc"[int(total.argmax())] and math.isclose(score, 1 / odds.sum(), rel_tol=1e-5)
 
 
+def test_bayes_is_fitted_as_in_plain_python(spark, small):
+    buckets = 128
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()] + [(10**9 + i, t, "zz") for i, t in enumerate([None, "", "Only ÉÉ", "12"])] + [(None, "no id", "en")]
+    train = [(t, lang) for i, t, lang in rows if lang is not None and zlib.crc32(str("" if i is None else i).encode()) % 4 != 2]
+    langs, priors, matrix = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), buckets=buckets)
+    times = Counter(lang for _, lang in train)
+    assert langs == sorted(times) and np.allclose(priors, [math.log(times[lang] / len(train)) for lang in langs])
+    counts = np.zeros((3 * buckets, len(langs)))
+    for text, lang in train:
+        codes = [ord(c) for c in (text or "").lower()]
+        for order in (1, 2, 3):
+            for i in range(len(codes) - order + 1):
+                h = 0
+                for c in codes[i : i + order]:
+                    h = (h + c + 1) * 0x9E3779B1 % (1 << 32)
+                    h ^= h >> 15
+                counts[(h * 0x85EBCA6B % (1 << 32) >> 25) + (order - 1) * buckets, langs.index(lang)] += 1
+    for k in range(3):
+        own = counts[k * buckets : (k + 1) * buckets]
+        assert np.allclose(matrix[k * buckets : (k + 1) * buckets], np.log((own + 0.5) / (own.sum(axis=0) + 0.5 * buckets)), atol=1e-4)
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_BYTES", 3 * 3 * langid.BUCKETS * 4)
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame([(i, "text", f"l{i}") for i in range(20)], "doc_id long, text string, lang string"))
+
+
+def plain_mix(rows):
+    """Words taken and whole copies of each row (doc_id, text, source), by position."""
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, r in zip(sizes, rows, strict=True) if r[2] == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    target, free = {}, list(sources)
+    while free:
+        left = sum(sizes) - sum(target.values())
+        over = [s for s in free if left * weight[s] >= 3 * total[s] * sum(weight[x] for x in free)]
+        if not over:
+            target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+            break
+        target |= {s: 3 * total[s] for s in over}
+        free = [s for s in free if s not in over]
+    out = [(0, 0)] * len(rows)
+    for s in sources:
+        own = [i for i, r in enumerate(rows) if r[2] == s]
+        own.sort(key=lambda i: (hashlib.md5(f"{'' if rows[i][0] is None else rows[i][0]}|17".encode()).hexdigest(), rows[i][0] is not None, rows[i][0] or 0, sizes[i]))
+        epochs, rest = divmod(int(target[s]), total[s]) if total[s] else (0, 0)
+        for i in own:
+            part = min(sizes[i], rest)
+            rest -= part
+            out[i] = (epochs * sizes[i] + part, epochs + (2 * part >= sizes[i]) if sizes[i] else 0)
+    return out
+
+
+def test_mix_against_plain_python(spark, docs, edges):
+    given = [(r.doc_id, r.text, r.source) for r in docs.collect()], [(r[0], r[1], r[3]) for r in edge_rows()], [(i, "a b c d", "big") for i in range(3_000)] + [(100 + i, "a b", None) for i in range(9)]
+    for rows in given:
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), range_rows=2).collect()
+        assert Counter((r.doc_id, r.taken, r.copies) for r in got) == Counter((r[0], *m) for r, m in zip(rows, plain_mix(rows), strict=True))
+
+
+def test_running_sums(spark):
+    from crestline.llm.common import running
+
+    rng = random.Random(14)
+    rows = [(k, i, rng.randint(0, 9)) for k in "ab" for i in range(100) if i % 7 or k == "a"]
+    got = {(r.k, r.i): r.before for r in running(spark.createDataFrame(rows, "k string, i long, v long"), "k", "i", "v", "before", 8).collect()}
+    assert got == {(k, i): sum(v for x, j, v in rows if x == k and j < i) for k, i, _ in rows}
+
+
 def test_long_texts_are_scored_in_slices(monkeypatch):
     matrix = np.log(np.random.default_rng(8).random((3 * 64, 2))).astype(np.float32)
     texts = ["abc def " * 50, "x", "Ünder " * 40]
@@ -352,6 +521,69 @@ def test_quality(spark, medium):
     assert got.score.between(0, 1).all() and ((got.score >= 0.3) == (got.predicted == 1)).all()
 
 
+def plain_statistics(text):
+    """The statistics of the quality classifier, one after another."""
+    import regex
+
+    s = r" \t\n\x0b\f\r"
+    t = text or ""
+    n, words = len(t), re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if x]
+    per_char, per_word, per_line = max(n, 1), max(len(words), 1), max(len(lines), 1)
+    found = lambda pattern: len(regex.findall(pattern, t))
+    return [
+        math.log1p(len(words)), n / per_word, found(r"\p{Lu}+") / per_word, sum(c in "0123456789" for c in t) / per_char, found(rf"[^\p{{L}}\p{{N}}{s}]") / per_char,
+        found(r"[#$%&*@~^_=<>{}\[\]\\]+|!!+") / per_word, t.count("|") / per_word, found(rf"[.?](?=[{s}]|$)") / per_word, len(words) / per_line, 1 - len(set(lines)) / per_line,
+        found(r"\p{Lu}\p{Lu}+") / per_word, found(rf"(?<![^{s}])([^{s}]++)[{s}]\1(?![^{s}])") / per_word,
+    ]
+
+
+def plain_quality(rows, labels):
+    """The score of each row (doc_id, text), by a model fitted on plain statistics. labels: doc_id, quality."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    known = {}
+    for i, q in labels:
+        if i is not None and q is not None and not held(i):
+            known[i] = min(q, known.get(i, q))
+    some = {}
+    for i, t, *_ in rows:
+        if i in known:
+            some.setdefault(i, set()).add(t or "")
+    assert all(len(texts) == 1 for texts in some.values())
+    x = np.array([plain_statistics(min(some[i])) for i in sorted(some)]).reshape(-1, 12)
+    bias, weighted = rules.fit_rules(x, np.array([known[i] for i in sorted(some)], float))
+    every = np.array([plain_statistics(r[1]) for r in rows]).reshape(-1, 12)
+    return 1 / (1 + np.exp(-(bias + sum((w * rules._holds(rule, every) for w, rule in weighted), np.zeros(len(every))))))
+
+
+def test_statistics_against_plain_python(spark, edges):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    parts = ["word", "Word", "WORD", "É", "ß", "中文", "😀", "12", "٣", "!!", "!", "?", ".", "#", "|", "\\", "{}", " ", "  ", "\n", "\n\n", "\t", "\x0b", "a a", "b b", "same line\n", "$_^", "'"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [r[1] or "" for r in edge_rows()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in frame.select("text", rules.statistics(F.col("text")).alias("s")).collect():
+        assert np.allclose(r.s, plain_statistics(r.text), atol=1e-12), r.text
+
+
+def test_scores_against_plain_python(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(rows[0][0], rows[0][1]), (None, None), (10**9, "")]
+    want = Counter((i, round(p, 9)) for (i, _), p in zip(rows, plain_quality(rows, [(r.doc_id, r.quality) for r in labels.collect()]), strict=True))
+    got = Counter((r.doc_id, round(r.score, 9)) for r in rules.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels).collect())
+    assert got == want
+
+
+def test_training_takes_one_text_of_a_doc_id(spark):
+    rng = random.Random(13)
+    rows = [(i % 40, " ".join(rng.choice(["aa", "B!", "7"]) for _ in range(20 + i % 40))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    models = [rules.train(spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(n), labels) for n in (1, 7)]
+    assert models[0] == models[1]
+
+
 def test_compiled_rules_equal_numpy(spark):
     from pyspark.sql import functions as F
 

@@ -4,12 +4,12 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
-import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from crestline.llm import embeddings, mixing, packing, urls
-from tests.llm.test_documents import brute_components
+from crestline import session
+from crestline.llm import embeddings, rules, urls
+from tests.llm.test_documents import BPE, DOC, edge_rows, plain_mix, plain_quality, repeated_rows, stay_exact, stay_near
 
 
 def brute_vectors(rows, threshold=0.98):
@@ -146,38 +146,106 @@ def test_urls(spark, small):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_pipeline_against_brute_force(spark, small):
-    from crestline.llm import rules
+def test_vectors_with_clashing_columns_and_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 0, 7, 8, 9), (2, b, 0, 7, 8, 9), (2, c, 0, 7, 8, 9), (3, c, 0, 7, 8, 9), (None, a, 0, 7, 8, 9), (None, None, 0, 7, 8, 9), (4, a, None, 7, 8, 9), (1, a, 0, 7, 8, 9)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep int, class int, block int")
+    got = Counter(tuple(r) for r in embeddings.near_vectors(frame).collect())
+    # Rows of id 2 are one node of the component, but count their own links.
+    assert got == Counter([(1, 3, 1, True), (1, 3, 1, True), (None, 3, 1, False), (2, 3, 1, False), (2, 1, 1, False), (3, 1, 1, False), (None, 0, None, True), (4, 0, 4, True)])
+
+
+def test_urls_with_clashing_columns(spark):
+    rows = [(i, f"https://a{i}.net/x/{i % 7}") for i in range(30)] + [(30 + i, f"https://b{i}.org/fr/y{i % 7}") for i in range(30)] + [(90, "https://c.de/z"), (91, None), (None, "")]
+    plain = sorted(map(str, urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()))
+    more = spark.createDataFrame([(*r, "p", "q", "r", 1.0, "s") for r in rows], "page_id long, url string, path string, rule string, shape string, score double, gram string")
+    assert sorted(map(str, urls.judge(more).collect())) == plain and len(plain) == len(rows)
+
+
+def check_pipeline(spark, sf_dir):
+    """Each stage against an independent version of its operator, over the rows that its predecessor gave."""
+    from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    count = lambda rows: Counter((r[0], r[1]) for r in rows)
     made = {}
     for name, stage in corpus_pipeline.STAGES:
-        before, out = docs.toPandas(), stage(spark, docs, small)
-        made[name] = out.toPandas()
+        before = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+        out = stage(spark, docs, sf_dir)
         if name != "packing":
-            assert out.columns == docs.columns
-            docs = spark.createDataFrame(out.collect(), out.schema)
+            assert out.schema == docs.schema
+            after = out.collect()
+            docs = spark.createDataFrame(after, out.schema)
+            after = [(r.doc_id, r.text, r.source) for r in after]
         if name == "quality_classifier":
-            good = rules.score(spark.createDataFrame(before), spark.read.parquet(f"{small}/labels.parquet")).filter("predicted = 1").toPandas()
-            assert sorted(made[name].doc_id) == sorted(good.doc_id)
+            assert count(after) == count([r for r, p in zip(before, plain_quality(before, labels), strict=True) if p >= rules.CUTOFF])
         elif name == "exact_dedup":
-            keep = {}
-            for r in before.itertuples():
-                normal = "".join(c for c in r.text if c not in " \t\n\x0b\x0c\r")
-                if normal not in keep or (-len(r.text), r.doc_id) < keep[normal]:
-                    keep[normal] = (-len(r.text), r.doc_id)
-            assert sorted(made[name].doc_id) == sorted(i for _, i in keep.values())
+            assert count(after) == count(stay_exact(before))
         elif name == "ngram_jaccard":
-            want = [i for i, _, c in brute_components(list(zip(before.doc_id, before.text, strict=True)), 5, 80) if i == c]
-            assert sorted(made[name].doc_id) == want
+            free, groups = stay_near(before, 5, 80)
+            left = count(after)
+            left.subtract(count(free))
+            for group in groups:
+                assert sum(left.pop(r, 0) for r in group) == 1
+            assert not +left and not -left
         elif name == "mixing":
-            copies = mixing.mix(spark.createDataFrame(before)).toPandas().set_index("doc_id").copies
-            assert Counter(made[name].doc_id) == Counter({i: int(c) for i, c in copies.items() if c})
+            want = Counter()
+            for r, (_, copies) in zip(before, plain_mix(before), strict=True):
+                want[r] += copies
+            assert Counter(after) == +want
         else:
-            pieces = made[name].groupby("doc_id").length.sum()
-            tokens = packing.pieces(spark.createDataFrame(before), public_tokenizers.path("byte_bpe_50k.json")).toPandas().groupby("doc_id").length.sum()
-            assert pieces.to_dict() == tokens.to_dict()
-    assert len(made["packing"]) == corpus_pipeline.run(spark, small).count()
+            t, want = Tokenizer.from_file(BPE), Counter()
+            for r in before:
+                n = len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1
+                for at in range(0, n, 2048):
+                    want[(r[0], at, min(2048, n - at), n)] += 1
+            rows = out.collect()
+            assert Counter((r.doc_id, r.start, r.length, r.doc_tokens) for r in rows) == want
+            at = defaultdict(list)
+            for r in rows:
+                at[r.sequence_id].append((r.offset, r.length))
+            assert all(sum(n for _, n in sorted(v)[:i]) == o for v in at.values() for i, (o, _) in enumerate(sorted(v))) and sorted(at) == list(range(len(at)))
+        made[name] = out
+    assert made["packing"].count() == corpus_pipeline.run(spark, sf_dir).count()
+
+
+def test_pipeline_against_brute_force(spark, small):
+    check_pipeline(spark, small)
+
+
+def test_pipeline_on_edges_and_on_nothing(spark, tmp_path):
+    rows = edge_rows() + [(None if r[0] is None else 100 + r[0], r[1], "en", "ab"[i % 2], 0, 1, 2, 3, 1, "k", i) for i, r in enumerate(repeated_rows())]
+    for name, given in (("edges", rows), ("nothing", [])):
+        spark.createDataFrame(given, DOC).repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(13)] + [(3, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        check_pipeline(spark, f"{tmp_path}/{name}")
+
+
+def test_queries_leave_only_what_they_read(spark, small, tmp_path, monkeypatch):
+    import shutil
+
+    import __spark_entry__ as e
+
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{tmp_path}")
+    for name, query in e.queries().items():
+        if name == "pipeline" or name.startswith("op"):
+            out = query(spark, small)
+            read = {f.removeprefix("file://").rpartition("/")[0] for f in out.inputFiles()}
+            assert {str(p) for p in tmp_path.iterdir()} <= read, name
+            for p in tmp_path.iterdir():
+                shutil.rmtree(p)
+    bad = tmp_path / "in"
+    for table in ("documents", "embeddings", "pages", "labels"):
+        frame = spark.read.parquet(f"{small}/{table}.parquet")
+        key = frame.columns[0]
+        frame.write.parquet(f"{bad}/{table}.parquet")
+        frame.limit(5).withColumn(key, frame[key].cast("string")).write.mode("append").parquet(f"{bad}/{table}.parquet")  # can't be read as what it is said to be
+    for name, query in e.queries().items():
+        if name in ("op3_ngram_jaccard", "op4_embedding_near_dedup", "op7_url_filter", "op8_exact_dedup", "pipeline"):
+            with pytest.raises(Exception):  # noqa: B017
+                query(spark, str(bad)).collect()
+            assert [p.name for p in tmp_path.iterdir()] == ["in"], name
 
 
 def test_query_names():
@@ -186,5 +254,3 @@ def test_query_names():
     names = list(e.queries())
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
     assert set(e.oracle_sql()) <= set(names)
-
-
