@@ -28,6 +28,21 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _triangle(pts: DataFrame, blocks: int, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """All pairs of one table's rows: a pair of blocks meets once, for both directions, so rows move half as often."""
+    names = [part.split()[0] for part in schema.split(",")]
+    dealt = pts.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.withColumn("__low", F.least("__block", "__other")).withColumn("__high", F.greatest("__block", "__other")).drop("__other")
+
+    def cell(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        low, high = (group[group["__block"] == at].sort_values("id").reset_index(drop=True) for at in key)
+        sides = [(low, high)] if key[0] == key[1] else [(low, high), (high, low)]
+        parts = [work(a.iloc[at : at + ROWS], b) for a, b in sides for at in range(0, len(a), ROWS) if len(b)]
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in names})
+
+    return dealt.groupBy("__low", "__high").applyInPandas(cell, schema)
+
+
 def against_all(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, size_bytes: int | None = None) -> DataFrame:
     """work(rows of left, rows of right by id) for blocks that cover all pairs. left and right have an id and features; the results of one left row
     over several right blocks have to be merged by the caller."""
@@ -43,8 +58,10 @@ def against_all(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame,
                     yield work(batch.iloc[at : at + ROWS], shared.value)
 
         return left.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, schema)  # cheap beside the distances
-    per_block = max(1_024, limit // (8 * (width + 4)) // 16)
+    per_block = max(1_024, limit // (8 * (width + 4)) // 4)
     blocks = -(-n // per_block)
+    if left is right:
+        return _triangle(left, blocks, work, schema)
     numbers = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own, also if both come from one table
     here = left.withColumn("__l", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("__r", F.explode(numbers))
