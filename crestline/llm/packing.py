@@ -92,22 +92,33 @@ def slots(found: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int,
     return out
 
 
+def located(places: list[tuple[int, int, int, int, int]], histogram: dict[int, int]) -> tuple[dict[int, int], list[tuple]]:
+    """For each length a width of rank buckets, as wide as its slots are on average, and the slots with each bucket that they reach into: a rank
+    then meets the few slots of its bucket only, and there are at most twice as many rows as slots."""
+    count: dict[int, int] = {}
+    for length, *_ in places:
+        count[length] = count.get(length, 0) + 1
+    width = {length: -(-n // count[length]) for length, n in histogram.items()}
+    return width, [(length, at, lo, hi, first, offset) for length, lo, hi, first, offset in places for at in range(lo // width[length], (hi - 1) // width[length] + 1)]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, max_length: int = 2048, end_id: int = 1) -> DataFrame:
     """Each piece with its sequence_id and offset."""
     spark = docs.sparkSession
     with Scratch() as run:
         cut = run.put(pieces(docs, tokenizer_path, max_length, end_id), "pieces")
         histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_length rows
-        places = slots(patterns(histogram, max_length))
+        width, places = located(slots(patterns(histogram, max_length)), histogram)
         # As many shards as a length needs; a row for each length, so at most max_length rows are broadcast.
-        shards = spark.createDataFrame([(length, -(-n // SHARD_ROWS)) for length, n in histogram.items()], "h_length long, shards long")
+        shards = spark.createDataFrame([(length, -(-n // SHARD_ROWS), width[length]) for length, n in histogram.items()], "h_length long, shards long, width long")
         sharded = cut.join(F.broadcast(shards), F.col("length") == F.col("h_length")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("shards")))
         before = sharded.groupBy("length", "shard").agg(F.count("*").alias("n"))
         before = running(before, "length", "shard", "n", "before").drop("n")
         within = W.partitionBy("length", "shard").orderBy("doc_id", "start", "ids_crc32")
         ranked = sharded.withColumn("r", F.row_number().over(within).cast("long") - 1).join(before, ["length", "shard"]).withColumn("rank", F.col("before") + F.col("r"))
-        table = spark.createDataFrame(places, "s_length long, lo long, hi long, first long, offset long")  # bounded by lengths and patterns, not by rows
-        out = ranked.join(F.broadcast(table), (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
+        table = spark.createDataFrame(places, "s_length long, at long, lo long, hi long, first long, offset long")  # bounded by lengths and patterns, not by rows
+        bucket = F.floor(F.col("rank") / F.col("width")) == F.col("at")
+        out = ranked.join(F.broadcast(table), (F.col("length") == F.col("s_length")) & bucket & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
             "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"
         )
         return run.leave(out, cut)

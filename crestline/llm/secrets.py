@@ -44,6 +44,14 @@ ALPHABETS = (
     (r"^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 1.0),
     (r"^[0-9A-Za-z+/_-]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", 1.0),
 )
+#: The same for scans that also take runs right after ``=`` and know keys over one case of letters with digits (see scan).
+WIDE_CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+WIDE_ALPHABETS = (
+    *ALPHABETS[:4],
+    (r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 1.0),
+    (r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1.0),
+    *ALPHABETS[4:],
+)
 BATTERY = 0.001
 FDR = 0.01
 TEXT_REPEAT = 0.065  # chance that two letters of ordinary text are equal
@@ -85,11 +93,11 @@ def _upper_normal(z: Column) -> Column:
     return F.greatest(1 / (1 + F.exp(1.5976 * bounded + 0.07056 * F.pow(bounded, F.lit(3.0)))), F.lit(1e-15))
 
 
-def _judged(value: Column) -> Column:
+def _judged(value: Column, alphabets: tuple = ALPHABETS) -> Column:
     """The battery's smallest p-value (corrected for three tests) and the p-value under the null hypothesis "ordinary text"."""
     body = F.translate(F.rtrim(F.translate(value, "=", " ")), "-_", "+/")
     alphabet, size, cover = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(1.0)
-    for pattern, letters, often in reversed(ALPHABETS):
+    for pattern, letters, often in reversed(alphabets):
         fits = body.rlike(pattern)
         cover = F.when(fits, F.lit(often)).otherwise(cover)
         alphabet = F.when(fits, F.lit(letters)).otherwise(alphabet)
@@ -161,14 +169,15 @@ def _cuts(found: DataFrame, fdr: float) -> dict[int, int]:
     return cuts
 
 
-def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """doc_id and its spans, each with start, end, kind (0 assign, 1 access, 2 hex, 3 random) and value (assign: group 2), in order."""
+def scan(docs: DataFrame, fdr: float = FDR, candidate: str = CANDIDATE, alphabets: tuple = ALPHABETS) -> DataFrame:
+    """doc_id and its spans, each with start, end, kind (0 assign, 1 access, 2 hex, 3 random) and value (assign: group 2), in order. With WIDE_CANDIDATE runs that
+    follow ``=`` directly are candidates too; with WIDE_ALPHABETS keys over small or capital letters with digits are tested over their own alphabet."""
     text = text_or_empty(docs)
-    each = [_hits(text, "assign", ASSIGN, 1), _hits(text, "access", ACCESS), _hits(text, "hex", HEX), _hits(text, "random", CANDIDATE)]
+    each = [_hits(text, "assign", ASSIGN, 1), _hits(text, "access", ACCESS), _hits(text, "hex", HEX), _hits(text, "random", candidate)]
     with Scratch() as run:
         hits = run.put(docs.select(F.monotonically_increasing_id().alias("__row"), docs["doc_id"], F.concat(*each).alias("hits")), "hits")
         found = _placed(hits.filter(F.size("hits") > 0))
-        found = run.put(found.withColumn("p", F.when(F.col("kind") == 3, _judged(F.col("value")))), "spans")
+        found = run.put(found.withColumn("p", F.when(F.col("kind") == 3, _judged(F.col("value"), alphabets))), "spans")
         first = F.lit(P_CELLS + 1)
         for k, cut in _cuts(found, fdr).items():
             first = F.when(_class(F.col("p.n")) == k, F.lit(cut)).otherwise(first)

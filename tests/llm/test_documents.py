@@ -94,6 +94,12 @@ def test_shortest_pack_first():
         for x in lengths:
             placed[x] += n
     assert placed == Counter(hist)
+    places = packing.slots(packing.patterns(hist, 64))
+    width, located = packing.located(places, hist)
+    assert len(located) <= 2 * len(places) + len(hist)
+    for length, n in hist.items():
+        for rank in range(n):
+            assert [r[2:] for r in located if r[0] == length and r[1] == rank // width[length] and r[2] <= rank < r[3]] == [p[1:] for p in places if p[0] == length and p[1] <= rank < p[2]]
 
 
 def test_fast_encoder_equals_the_library():
@@ -400,6 +406,19 @@ def test_random_keys_are_found_and_words_are_not(spark):
     assert not [i for i in found if i >= 40]
 
 
+def test_wide_scans_find_keys_after_equals_signs_and_of_one_case(spark):
+    rng = random.Random(15)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    made = [(f"NAME{i}=", b64, 40) for i in range(100)] + [(" ", letters, n) for letters in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for n in (32, 64, 128) for _ in range(100)]
+    words = ["".join(rng.choice(["tion", "ment", "er", "ing", "the", "an"]) for _ in range(8)) for _ in range(600)] + ["x=a_long_name_in_snake_case"]
+    rows = [(i, before + "".join(rng.choice(letters) for _ in range(n)) + " end") for i, (before, letters, n) in enumerate(made)] + [(1_000 + i, f"say {w}") for i, w in enumerate(words)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in secrets.scan(frame, candidate=secrets.WIDE_CANDIDATE, alphabets=secrets.WIDE_ALPHABETS).collect() if any(s.kind == 3 for s in r.spans)}
+    shares = [len([i for i in found if at <= i < at + 100]) for at in range(0, len(made), 100)]
+    assert all(share >= (70 if at in (1, 4) else 97) for at, share in enumerate(shares)), shares  # 32 symbols of 36 are near the least that can be told from text
+    assert not [i for i in found if i >= 1_000]
+
+
 def test_languages(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     got = langid.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
