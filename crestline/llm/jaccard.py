@@ -158,8 +158,11 @@ class _Join:
         heads = self.members.filter("key = gid").select("gid", F.col("rep").alias("h_id"), F.col("f1").alias("h1"), F.col("f2").alias("h2"))
         own = self.signed.filter("n > 0").join(heads, (F.col("doc_id") == F.col("h_id")) & (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2")))
         self.groups = keep(own.select("gid", "n", "prefix").dropDuplicates(["gid"]), "groups")
+        whole, self.signed = self.signed, keep(self.signed.drop("p1", "p2", "prefix"), "rows")
+        run.drop(whole)
         posts = self.groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-        shared = self.groups.select("gid", F.explode("prefix").alias("l_token")).groupBy("l_token").agg(F.count("*").alias("many"), F.min("gid").alias("leader")).filter("many > 1")
+        # The group that a list's token stands first in leads it: fewest rarer shingles come before, as in the text that near copies were made from.
+        shared = posts.groupBy(F.col("token").alias("l_token")).agg(F.count("*").alias("many"), F.min(F.struct("pos", "gid")).alias("first")).filter("many > 1").select("l_token", F.col("first.gid").alias("leader"))
         self.lists = keep(posts.join(shared, F.col("token") == F.col("l_token")).select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), "leader"), "lists")
 
     def _need(self, a: Column, b: Column) -> Column:
@@ -211,11 +214,12 @@ class _Join:
             first = first.unionByName(self.same_document())
         drop(star)
 
-        found = connected_components(first, lambda df: keep(df, "stars"), drop=drop)
+        found = keep(connected_components(first, lambda df: keep(df, "stars"), drop=drop), "found")
         placed = self.members.join(found, F.col("key") == F.col("node"), "left").select("key", "gid", F.coalesce("component", "key").alias("c"))
         placed = keep(placed, "placed")
         span = placed.groupBy("gid").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).withColumnRenamed("gid", "s_gid")
         lists = keep(self.lists.join(span, F.col("gid") == F.col("s_gid")).select("token", "gid", "n", "pos", "c0", "c1"), "spans")
+        drop(self.lists)
         mixed = lists.groupBy(F.col("token").alias("m_token")).agg(F.min("c0").alias("lo"), F.max("c1").alias("hi"), F.count("*").alias("many")).filter("lo <> hi")
         mixed = keep(mixed.select("m_token", "many"), "mixed")
         pairs = self._possible(lists.join(mixed.filter(F.col("many") <= LIST), F.col("token") == F.col("m_token")), ["token"], F.col("gid_x") < F.col("gid_y"))
@@ -223,12 +227,18 @@ class _Join:
             long = lists.join(mixed.filter(F.col("many") > LIST), F.col("token") == F.col("m_token"))
             pairs = pairs.unionByName(self._long_pairs(long.select("token", "gid", "n", "pos", "c0", "c1")))
         pairs = keep(self._filtered(pairs.distinct()), "cross")
+        drop(lists, mixed, self.groups)
         left = placed.select(F.col("gid").alias("a"), F.col("key").alias("ra"), F.col("c").alias("ca"))
         right = placed.select(F.col("gid").alias("b"), F.col("key").alias("rb"), F.col("c").alias("cb"))
         apart = pairs.join(left, "a").join(right, "b").filter("ca <> cb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         torn = left.join(right.withColumnRenamed("b", "a"), "a").filter("ca < cb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        links = first.unionByName(self.verified(apart.unionByName(torn)))
-        return keep(connected_components(links, lambda df: keep(df, "rounds"), drop=drop), "components")
+        # What this finds joins components as a whole, so only those are searched again.
+        more = self.verified(apart.unionByName(torn))
+        more = more.join(left.select(F.col("ra").alias("a"), "ca"), "a").join(right.select(F.col("rb").alias("b"), "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = keep(connected_components(more, lambda df: keep(df, "rounds"), drop=drop).toDF("j_node", "j_component"), "joined")
+        old = found.join(joined, F.col("component") == F.col("j_node"), "left").select("node", F.coalesce("j_component", "component").alias("component"))
+        new = joined.join(found, F.col("j_node") == F.col("node"), "left_anti").select(F.col("j_node").alias("node"), F.col("j_component").alias("component"))
+        return keep(old.unionByName(new), "components")
 
     def _possible(self, lists: DataFrame, keys: list[str], order: Column, others: DataFrame | None = None) -> DataFrame:
         """Pairs of groups (a, b) under one key that their sizes, positions and components leave possible."""
