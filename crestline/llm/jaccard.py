@@ -187,9 +187,9 @@ class _Join:
         return self.scratch.put(own.filter("lo <> f1").select(F.col("lo").alias("a"), F.col("f1").alias("b")).distinct(), "same")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links among pairs of keys of classes (a, b)."""
+        """Links among pairs of keys of classes (a, b). Sets of the first go to the second's, so a key of very many pairs should be a first one."""
         keep = self.scratch.put
-        pairs = keep(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        pairs = keep(pairs.filter("a <> b").select("a", "b").distinct(), "candidates")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         ids = keep(self.members.join(ids, F.col("key") == F.col("id")).select("key", F.col("rep").alias("id"), F.col("f1").alias("m1"), F.col("f2").alias("m2")), "ids")
         whole = _whole_sets(self.docs, ids.select("id"), self.k)
