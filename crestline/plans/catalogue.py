@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.operators import assign, baselines, centers, density, dependent, graphs, metrics, sketch, sweep
-from crestline.operators.knn import exact_knn, nearest_centroid, recall
+from crestline.operators.knn import complete, exact_knn, nearest_centroid, recall
 from crestline.operators.vectors import points
 from crestline.plans import dpc, report
 from crestline.plans.oracles import CLUSTERS, DELTA_E, K, ORACLES, SKETCH, planes
 from crestline.session import Scratch, keep, shared_dir
 from crestline.sources import sinks, text
+from crestline.sources.generators import mixture
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -245,6 +246,60 @@ def _dpc(spark: SparkSession, d: str) -> DataFrame:
     return dpc.cluster(E(spark, d), K, 64, 32, dpc.Product(CLUSTERS), Lbuild=64, max_degree=32, alpha=1.1).clusters
 
 
+def _vector_lines(spark: SparkSession, d: str) -> str:
+    """The points of embeddings as a text file, a vector a line in id order."""
+    lines = E(spark, d).select("id", F.array_join(F.transform("features", lambda x: x.cast("string")), " ").alias("line"))
+    return _written(spark, lambda path: sinks.values(lines, "line", path))
+
+
+def _vectors_scan(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("features")
+    return text.vectors(spark, _vector_lines(spark, d)).select("id", x[0].alias("first"), F.element_at(x, -1).alias("last"), F.size(x).cast("long").alias("width"))
+
+
+def _values_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Values written a line each in id order and read again as vectors of one component."""
+    path = _written(spark, lambda path: sinks.values(S(spark, d), F.col("features")[1], path))
+    return text.vectors(spark, path).select("id", F.col("features")[0].alias("x"))
+
+
+def _file_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return dpc.cluster_file(spark, _vector_lines(spark, d), K=K, center_finder=dpc.Product(CLUSTERS), graph_type="BruteForce").clusters
+
+
+def _completed(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of which every third is cut short, completed by exact search."""
+    pts = E(spark, d)
+    return _long_ranks(complete(keep(_knn(pts).filter("id % 3 <> 0 OR rk < 3")), pts, K + 1))
+
+
+def _hooked(spark: SparkSession, d: str, **hooks) -> DataFrame:
+    return dpc.cluster(E(spark, d), K=K, center_finder=dpc.Product(CLUSTERS), graph_type="BruteForce", **hooks).clusters
+
+
+def _chosen(spark: SparkSession, d: str) -> DataFrame:
+    """Two metrics chosen by name."""
+    got = metrics.evaluate(_truth(spark, d), _labelled(E(spark, d)), ("ARI", "homogeneity"))
+    return spark.createDataFrame([(round(got["ARI"], 8), round(got["homogeneity"], 8))], "ari double, homogeneity double")
+
+
+def _regression(spark: SparkSession, d: str) -> DataFrame:
+    fit = report.linear_regression(_read(spark, d, "part").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y")), ["x"], "y")
+    return spark.createDataFrame([(round(float(fit["coefficients"][0]), 6), round(float(fit["intercept"]), 5), round(float(fit["r2"]), 6))], "slope double, intercept double, r2 double")
+
+
+def _configurations(spark: SparkSession, d: str) -> DataFrame:
+    made = dpc.configurations([8, 16], ["HCNNG", "Vamana"], [4, 8], ["kth", "sum"])
+    return spark.createDataFrame([(c["method"], c["L"], c["K"]) for c in made], "method string, width long, k long")
+
+
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and means of a generated mixture, as many points as parts for each region."""
+    n = _read(spark, d, "part").count()
+    made = mixture(spark, [[0.0, 100.0 * c] for c in range(5)], [n + c for c in range(5)], 0.5)
+    return made.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.col("features")[1]) / 100).cast("long").alias("center"))
+
+
 def _gate(spark: SparkSession, d: str) -> DataFrame:
     """Approximate against exact clustering of the same points: the exact form's size, and whether their adjusted Rand index is above 0.95."""
     exact = _labelled(E(spark, d))
@@ -322,5 +377,16 @@ QUERIES = {
     "knn_vamana": _approximate("Vamana"),
     "dpc_approx": _dpc,
     "dpc_approx_gate": _gate,
+    "vectors_scan": _vectors_scan,
+    "values_scan": _values_scan,
+    "clusters_of_file": _file_clusters,
+    "knn_completed": _completed,
+    "clusters_noise": lambda s, d: _hooked(s, d, noise_finder=lambda g: g.filter("rho < 0.75").select("id")),
+    "clusters_merged": lambda s, d: _hooked(s, d, merger=lambda found, g: found.select("id", (F.col("cluster") % 3).alias("cluster"))),
+    "metrics_chosen": _chosen,
+    "regression": _regression,
+    "configurations": _configurations,
+    "kmeans_grid": lambda s, d: s.createDataFrame(baselines.grid(), "nredo long, niter long"),
+    "generated_sizes": _generated,
     "kmeans": lambda s, d: baselines.kmeans(E(s, d), 10),
 }

@@ -219,5 +219,17 @@ SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 50)) + 1, 50)::BIGINT AS b
     "labels_scan": "SELECT vec_id::BIGINT AS id, label::BIGINT AS label FROM embeddings",
     "decision_graph_scan": """SELECT vec_id::BIGINT AS id, 1 / (vec_id + 1)::DOUBLE AS rho, CASE WHEN vec_id > 0 THEN sqrt(vec_id::DOUBLE) END AS delta, CASE WHEN vec_id > 0 THEN vec_id::BIGINT // 2 END AS dep FROM embeddings""",
     "results_scan": """SELECT n_name AS dataset, n_nationkey::BIGINT AS num_clusters, NULL::VARCHAR AS method FROM nation, range(2) UNION ALL SELECT r_name, NULL, 'DBSCAN' FROM region""",
+    "vectors_scan": """SELECT vec_id::BIGINT AS id, embedding[1]::DOUBLE AS first, embedding[-1]::DOUBLE AS last, len(embedding)::BIGINT AS width FROM embeddings""",
+    "values_scan": "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS id, s_acctbal AS x FROM supplier",
+    "clusters_of_file": f"{BY_PRODUCT} SELECT id, cluster FROM clusters",
+    "knn_completed": f"WITH {_knn('E')} SELECT * FROM knn",
+    "clusters_noise": f"""{_clusters('E', _product(CLUSTERS).replace("centers AS", "tops AS") + ", centers AS (SELECT id FROM tops UNION SELECT id FROM graph WHERE rho < 0.75)")} SELECT id, cluster FROM clusters""",
+    "clusters_merged": f"{BY_PRODUCT} SELECT id, cluster % 3 AS cluster FROM clusters",
+    "regression": "SELECT round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_intercept(p_retailprice, p_size), 5) AS intercept, round(regr_r2(p_retailprice, p_size), 6) AS r2 FROM part",
+    "configurations": """SELECT g || '_' || a || '_1.1_' || b || '_' || greatest(2 * k, l) || '_' || n || '_' || w || '_' || k AS method, greatest(2 * k, l)::BIGINT AS width, k::BIGINT AS k
+FROM (VALUES ('HCNNG'), ('Vamana')) t1(g), (VALUES (8), (16)) t2(a), (VALUES (8), (16)) t3(b), (VALUES (8), (16)) t4(l), (VALUES (8), (16)) t5(n), (VALUES (4), (8)) t6(k), (VALUES ('kth'), ('sum')) t7(w)""",
+    "kmeans_grid": "SELECT nredo::BIGINT AS nredo, niter::BIGINT AS niter FROM range(1, 5) r(nredo), range(1, 46) i(niter) WHERE (niter < 10 OR niter % 5 = 0) AND nredo * niter <= 100",
+    "generated_sizes": "SELECT c::BIGINT AS label, (SELECT count(*) FROM part) + c AS n, c::BIGINT AS center FROM range(5) t(c)",
     "distinct_count": "SELECT count(DISTINCT c_mktsegment) AS n FROM customer",
 }
+ORACLES["metrics_chosen"] = f"SELECT ari, homogeneity FROM ({ORACLES['metric_ari']}), ({ORACLES['metric_homogeneity_completeness']})"
