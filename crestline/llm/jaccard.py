@@ -161,9 +161,9 @@ class _Join:
         whole, self.signed = self.signed, keep(self.signed.drop("p1", "p2", "prefix"), "rows")
         run.drop(whole)
         posts = self.groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-        # The group that a list's token stands first in leads it: fewest rarer shingles come before, as in the text that near copies were made from.
-        shared = posts.groupBy(F.col("token").alias("l_token")).agg(F.count("*").alias("many"), F.min(F.struct("pos", "gid")).alias("first")).filter("many > 1").select("l_token", F.col("first.gid").alias("leader"))
-        self.lists = keep(posts.join(shared, F.col("token") == F.col("l_token")).select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), "leader"), "lists")
+        shared = posts.groupBy(F.col("token").alias("l_token")).agg(F.count("*").alias("many"), F.min("pos").alias("first")).filter("many > 1")
+        lists = posts.join(shared, F.col("token") == F.col("l_token")).select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), (F.col("pos") == F.col("first")).alias("head"))
+        self.lists = keep(lists, "lists")
 
     def _need(self, a: Column, b: Column) -> Column:
         """Least overlap of linked sets of these sizes."""
@@ -205,7 +205,9 @@ class _Join:
     def components(self) -> DataFrame:
         """node (key of a class) and component (smallest key) of the classes that are linked to others."""
         keep, drop = self.scratch.put, self.scratch.drop
-        star = self.lists.filter("gid <> leader").select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct()
+        # The group in whose prefix a list's token stands first leads the list: fewest rarer shingles come before, as in the text that near copies were made from.
+        leaders = self.lists.filter("head").groupBy(F.col("token").alias("l_token")).agg(F.min("gid").alias("leader"))
+        star = self.lists.join(leaders, F.col("token") == F.col("l_token")).filter("gid <> leader").select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct()
         star = keep(self._filtered(star), "star")
         inside = self.members.filter("key <> gid").select(F.col("gid").alias("a"), F.col("key").alias("b"))
         expanded = star.join(self.members.select(F.col("gid").alias("b"), "key"), "b").select("a", F.col("key").alias("b"))
