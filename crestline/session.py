@@ -81,6 +81,12 @@ class Scratch:
                 where = spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
+    @staticmethod
+    def sweep(spark: SparkSession) -> None:
+        """Let Spark delete the shuffle files of finished steps: it does so only once the driver's JVM has collected their plans, which a driver with
+        memory to spare may put off until the disks of the executors are full."""
+        spark._jvm.System.gc()
+
     def leave(self, out: DataFrame, *frames: DataFrame, inherited: bool = False) -> DataFrame:
         """out, which reads these tables (and with ``inherited`` all that runs within this one left)."""
         self.left |= set(self.paths) if inherited else {id(df) for df in frames}
