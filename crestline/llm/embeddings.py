@@ -209,7 +209,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = SEED)
         needed = cells.groupBy(*CELL[2:]).applyInArrow(lambda t: _needed(t, bits, threshold), ", ".join(f"{c} {kinds[c]}" for c in CELL))
         needed = run.put(needed, "needed")
         # The vectors of these classes: a sieve spares all others the way, and of a class only rows with its smallest id go.
-        own = Sieve.of(needed, F.col("class")).marked(live, F.col("class")).filter("__maybe").join(needed.select(F.col("class").alias("n_class")), F.col("class") == F.col("n_class"), "left_semi")
+        own = Sieve.of(needed, F.xxhash64("class")).marked(live, F.xxhash64("class")).filter("__maybe").join(needed.select(F.col("class").alias("n_class")), F.col("class") == F.col("n_class"), "left_semi")
         own = run.put(own.select(F.col("class").alias("o_class"), F.col("label").alias("o_label"), F.col("h1").alias("o1"), F.col("h2").alias("o2"), "rep", "copies", "code", "factor", "query", "step"), "own")
         fetched = Sieve.of(own, F.col("o1")).marked(rows, F.col("h1")).filter("__maybe").select("vec_id", "label", "h1", "h2", "embedding")
         own = own.join(fetched, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")) & (F.col("label") == F.col("o_label")) & (F.col("vec_id") == F.col("rep")))

@@ -164,6 +164,7 @@ class _Join:
         shared = posts.groupBy(F.col("token").alias("l_token")).agg(F.count("*").alias("many"), F.min("pos").alias("first")).filter("many > 1")
         lists = posts.join(shared, F.col("token") == F.col("l_token")).select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), (F.col("pos") == F.col("first")).alias("head"))
         self.lists = keep(lists, "lists")
+        run.sweep(docs.sparkSession)
 
     def _need(self, a: Column, b: Column) -> Column:
         """Least overlap of linked sets of these sizes."""
@@ -215,6 +216,7 @@ class _Join:
         if self.by_document:
             first = first.unionByName(self.same_document())
         drop(star)
+        self.scratch.sweep(self.docs.sparkSession)
 
         found = keep(connected_components(first, lambda df: keep(df, "stars"), drop=drop), "found")
         placed = self.members.join(found, F.col("key") == F.col("node"), "left").select("key", "gid", F.coalesce("component", "key").alias("c"))
@@ -230,6 +232,7 @@ class _Join:
             pairs = pairs.unionByName(self._long_pairs(long.select("token", "gid", "n", "pos", "c0", "c1")))
         pairs = keep(self._filtered(pairs.distinct()), "cross")
         drop(lists, mixed, self.groups)
+        self.scratch.sweep(self.docs.sparkSession)
         left = placed.select(F.col("gid").alias("a"), F.col("key").alias("ra"), F.col("c").alias("ca"))
         right = placed.select(F.col("gid").alias("b"), F.col("key").alias("rb"), F.col("c").alias("cb"))
         apart = pairs.join(left, "a").join(right, "b").filter("ca <> cb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))

@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crestline.llm.common import WORD, running, text_or_empty, whole_row
+from crestline.llm.common import WORD, row_order, running, text_or_empty, whole_row
 from crestline.session import Scratch
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 17
 RANGE_ROWS = 400
+BROADCAST_SOURCES = 100_000
 BIG = "decimal(38,0)"
 
 
@@ -98,12 +99,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as whole documents are taken (the one at a cut if at least half of it is)."""
+    """The mix itself: the rows of docs, each as often as whole documents are taken (the one at a cut if at least half of it is). The cut of each source is
+    found on keys and sizes alone and sent to the documents, so texts aren't shuffled."""
+    place = F.struct("__key", "__doc", "__size")
     with Scratch() as run:
         sized = run.put(docs.select(*_sized(docs, seed)), "sizes")
-        out, read = _taken(docs.select(*_sized(docs, seed), whole_row(docs)), sized, weights, cap, range_rows, run)
-        out = out.filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")
-        return run.leave(out, *read)
+        taken, _ = _taken(sized, sized, weights, cap, range_rows, run)
+        once_more = F.col("copies") > F.col("__epochs")
+        cuts = taken.groupBy(F.col("__source").alias("__of")).agg(F.max("__epochs").alias("__whole"), F.max(F.when(once_more, place)).alias("__last"))
+        cuts = run.put(cuts, "cuts")
+        # Rows that repeat the last one: as many of them are taken once more as the budget has left.
+        ends = taken.join(cuts.select("__of", "__last"), F.col("__source") == F.col("__of")).filter(place == F.col("__last"))
+        ends = ends.groupBy(F.col("__source").alias("__at")).agg(F.count("*").alias("__all"), F.sum(once_more.cast("long")).alias("__some"))
+        cuts = run.put(cuts.join(ends, F.col("__of") == F.col("__at"), "left").drop("__at"), "ends")
+        few = cuts.count() <= BROADCAST_SOURCES
+        rows = docs.select(*_sized(docs, seed), whole_row(docs), row_order(docs).alias("__more"))
+        rows = rows.join(F.broadcast(cuts) if few else cuts, F.col("__source") == F.col("__of")).filter("__size > 0")
+        torn = (place == F.col("__last")) & (F.col("__some") < F.col("__all"))
+        copies = F.col("__whole") + F.when(place <= F.col("__last"), 1).otherwise(0)
+        out = rows.filter(~F.coalesce(torn, F.lit(False))).select("__row", copies.alias("__copies"))
+        if not cuts.filter("__some < __all").isEmpty():
+            nth = F.row_number().over(W.partitionBy("__source").orderBy("__more"))
+            out = out.unionByName(rows.filter(torn).select("__row", (F.col("__whole") + F.when(nth <= F.col("__some"), 1).otherwise(0)).alias("__copies")))
+        out = out.filter("__copies > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")).select("__row.*")
+        return run.leave(out, cuts)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

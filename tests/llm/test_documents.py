@@ -507,10 +507,16 @@ def plain_mix(rows):
 
 
 def test_mix_against_plain_python(spark, docs, edges):
-    given = [(r.doc_id, r.text, r.source) for r in docs.collect()], [(r[0], r[1], r[3]) for r in edge_rows()], [(i, "a b c d", "big") for i in range(3_000)] + [(100 + i, "a b", None) for i in range(9)]
+    given = [(r.doc_id, r.text, r.source) for r in docs.collect()], [(r[0], r[1], r[3]) for r in edge_rows()], [(i, "a b c d", "big") for i in range(3_000)] + [(100 + i, "a b", None) for i in range(9)], [(5, "a b", "x")] * 10 + [(6, "a b c", "y")] * 9 + [(None, "a", "z")] * 8
     for rows in given:
         got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), range_rows=2).collect()
-        assert Counter((r.doc_id, r.taken, r.copies) for r in got) == Counter((r[0], *m) for r, m in zip(rows, plain_mix(rows), strict=True))
+        want = plain_mix(rows)
+        assert Counter((r.doc_id, r.taken, r.copies) for r in got) == Counter((r[0], *m) for r, m in zip(rows, want, strict=True))
+        whole = Counter()
+        for r, (_, copies) in zip(rows, want, strict=True):
+            whole[r] += copies
+        made = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), range_rows=2)
+        assert Counter(tuple(r) for r in made.collect()) == +whole
 
 
 def test_running_sums(spark):
