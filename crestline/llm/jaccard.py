@@ -35,6 +35,7 @@ from crestline.session import Scratch
 HEAVY = 1 << 20  # 16 MB where it is broadcast
 FREQUENT = 16  # documents from which a shingle counts as frequent
 BLOCK = 4_000_000  # shingles counted at a time
+PART = 1 << 17  # of them handed on at a time
 LOCAL = 3  # occurrences in a block from which any shingle is reported
 LOW = np.uint64(1 << 62)  # hashes below are always reported: by hash order these are the ones that get into prefixes
 BROADCAST_IDS = 500_000
@@ -62,10 +63,16 @@ def heavy_shingles(docs: DataFrame, k: int, scratch: Scratch, heavy: int = HEAVY
         seen: set[int] = set()
         n = 0
 
-        def report() -> pa.RecordBatch:
-            got, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            many = (times >= LOCAL) | (got < LOW)
-            return pa.RecordBatch.from_arrays([pa.array(got[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["token", "times"])
+        def report() -> Iterator[pa.RecordBatch]:
+            every = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held.clear()  # sorted in place and handed on in parts: a block is all that a worker holds
+            every.sort()
+            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+            got, times = every[first], np.diff(first, append=len(every))
+            del every, first
+            many = np.flatnonzero((times >= LOCAL) | (got < LOW))
+            for some in (many[s : s + PART] for s in range(0, len(many), PART)):
+                yield pa.RecordBatch.from_arrays([pa.array(got[some].view(np.int64)), pa.array(times[some].astype(np.int64))], names=["token", "times"])
 
         for b in batches:
             for _, _, sizes, values in sets(b.column(0), k):
@@ -74,10 +81,10 @@ def heavy_shingles(docs: DataFrame, k: int, scratch: Scratch, heavy: int = HEAVY
                 held.append(values[np.repeat(fresh, sizes)])
                 n += len(held[-1])
                 if n >= BLOCK:
-                    yield report()
-                    held, n = [], 0
+                    yield from report()
+                    n = 0
                     seen.clear()
-        yield report()
+        yield from report()
 
     counted = docs.select("text").mapInArrow(count, "token long, times long")
     frequent = scratch.put(counted.groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT), "frequent")
@@ -142,7 +149,7 @@ class _Join:
 
     def __init__(self, docs: DataFrame, k: int, percent: int, heavy: int, run: Scratch, by_document: bool):
         """by_document: rows that share a doc_id are linked."""
-        bounded_batches(docs.sparkSession)
+        bounded_batches(docs.sparkSession, "4m")
         self.docs, self.k, self.percent, self.scratch, self.by_document = docs, k, percent, run, by_document
         keep = self.scratch.put
         self.signed = keep(signatures(docs, k, percent, heavy_shingles(docs, k, self.scratch, heavy)), "signatures")

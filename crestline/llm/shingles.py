@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000  # temporary arrays take some 60 times as much, in every Python worker
 _U = np.uint64
 _BASE = 0x9D39247E33776D41 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
