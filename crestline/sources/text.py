@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crestline.session import keep
+
 DELIMITERS = r"[\t;, \r\x00]+"
+SOMETHING = r"[^\t;, \r\x00]"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """<id, value>: non-empty lines, numbered from 0 in the order of the files and of the lines in each."""
     # Splits of a file are told apart by the offset of their block; row ids increase within each.
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    lines = lines.filter(F.length(F.regexp_replace("value", DELIMITERS, "")) > 0)
+    lines = lines.filter(F.col("value").rlike(SOMETHING))
     counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
     before = counts.select(F.col("file").alias("f"), F.col("block").alias("b"), (F.sum("n").over(W.orderBy("file", "block")) - F.col("n")).alias("before"))
     within = F.row_number().over(W.partitionBy("file", "block").orderBy("at")) - 1
@@ -28,8 +31,8 @@ def numbers(value: Column) -> Column:
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Points from a text file, one vector a line; ragged files are rejected."""
-    out = numbered_lines(spark, path).select("id", numbers(F.col("value")).alias("features"))
+    """Points from a text file, one vector a line, parsed once into a table of their own; ragged files are rejected."""
+    out = keep(numbered_lines(spark, path).select("id", numbers(F.col("value")).alias("features")))
     low, high = out.agg(F.min(F.size("features")), F.max(F.size("features"))).first()
     if low != high:
         raise ValueError(f"{path}: rows have between {low} and {high} numbers")

@@ -155,3 +155,10 @@ def test_cluster_reports(spark):
     assert {r.at: r.code for r in report.encode(names, "name").collect()} == {4: 0, 2: 1, 1: 2, 3: 2}
     assert {r.at: r.code for r in report.encode(names, "name", "at").collect()} == {1: 0, 3: 0, 2: 1, 4: 2}
     assert report.most_frequent(names, "name", 1).first().name == "b"
+
+
+def test_vectors_of_a_file_are_parsed_once(spark, tmp_path):
+    (tmp_path / "points.txt").write_text("1 2\n\n ;,\t\n3,4\n")
+    made = text.vectors(spark, str(tmp_path / "points.txt"))
+    assert "FileScan text" not in made._jdf.queryExecution().toString()
+    assert sorted(map(tuple, made.collect())) == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
